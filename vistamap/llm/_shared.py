@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 KEY_BYTES = 1 << 20
@@ -57,7 +58,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = KEY_BYTES) -> Iterato
     values = batch.column(batch.schema.get_field_index(column))
     if not len(values):
         return
-    size = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False).cumsum()
+    size = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).cumsum()
     at = 0
     while at < len(size):
         to = int(size.searchsorted((size[at - 1] if at else 0) + most, "right"))

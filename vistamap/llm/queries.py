@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import work_dir
+from .language_id import language_id
+from .line_dedup import SQL as LINE_DEDUP_SQL
+from .line_dedup import line_dedup
 from .packing import pack_texts
 from .token_counts import token_counts
 
@@ -27,13 +30,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), work_dir(spark, "token-cache"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_language_id, op5_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": LINE_DEDUP_SQL}
