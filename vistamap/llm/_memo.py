@@ -14,7 +14,7 @@ from ._shared import one_thread
 from ._text import _SPACE, U, prefix, raw, spans
 
 #: Units that a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def version(path: str) -> str:

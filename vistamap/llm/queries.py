@@ -11,6 +11,7 @@ from ._shared import work_dir
 from .language_id import language_id
 from .line_dedup import SQL as LINE_DEDUP_SQL
 from .line_dedup import line_dedup
+from .near_dups import near_dups
 from .packing import pack_texts
 from .token_counts import token_counts
 
@@ -43,8 +44,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_language_id, op5_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_language_id, op5_packing, op7_near_dups)}
 
 
 def oracle_sql() -> dict[str, str]:
