@@ -12,6 +12,7 @@ from .language_id import language_id
 from .line_dedup import SQL as LINE_DEDUP_SQL
 from .line_dedup import line_dedup
 from .near_dups import near_dups
+from .ngram_lm import score_held_out
 from .packing import pack_texts
 from .token_counts import token_counts
 
@@ -48,8 +49,12 @@ def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_language_id, op5_packing, op7_near_dups)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_language_id, op5_packing, op7_near_dups, op9_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
