@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from .near_dups import near_dups
 from .ngram_lm import score_held_out
 from .packing import pack_texts
+from .repeated_spans import repeated_spans
 from .token_counts import token_counts
 
 
@@ -53,8 +54,12 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_language_id, op5_packing, op7_near_dups, op9_lm_scoring)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_language_id, op5_packing, op7_near_dups, op9_lm_scoring, op10_repeated_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
