@@ -4,8 +4,9 @@
    Documents with equal sets are one class, so copies cost one row from there on.
 2. Classes that share a band of their signatures are candidates. In each bucket every class is first compared with
    the smallest one only; components of the links found show which buckets are settled. In the others, classes outside the
-   bucket's largest component are compared with all classes of other components, in tiles of bounded size: pairs within
-   one component can't change the result, every other candidate pair is looked at.
+   bucket's largest component are compared with all classes of other components, in tiles of bounded size that verify
+   on full sets at once and give a spanning set of links: pairs within one component can't change the result, every
+   other candidate pair is looked at.
 3. Signatures are compared a batch of positions at a time; a pair is dropped as soon as the posterior probability of a
    similarity at the threshold or above, given the matches so far and a uniform prior, falls below `miss`.
 4. Survivors are verified on the full shingle sets of the two texts, the likeliest pair of each class first; pairs whose
@@ -133,34 +134,46 @@ def compared(least: dict[int, int]):
     return run
 
 
-def tiled(least: dict[int, int], most: int | None):
-    """In one tile of a bucket: each outer class against all classes of other components, the `most` likeliest a component.
-    `more`: there were more than that."""
+def tiled(least: dict[int, int], n: int, percent: int):
+    """In one tile of a bucket: each outer class against the residents of other components, on signatures and then on the
+    full sets. Gives links that join components which the tile didn't know to be joined, one less than it joins at most.
+
+    A pair that shares an earlier band is left to that band's bucket, where it is compared as well."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        cid, comp, outer = table["cid"].to_numpy(), table["comp"].to_numpy(), table["outer"].to_numpy(zero_copy_only=False)
-        signature, inner = unpacked(table["signature"]), table["resident"].to_numpy(zero_copy_only=False)
-        out: list[np.ndarray] = []
-        residents = np.flatnonzero(inner)
+        cid, signature = table["cid"].to_numpy(), unpacked(table["signature"])
+        doc, h = distinct_grams(table["text"].combine_chunks(), n)
+        cut = np.searchsorted(doc, np.arange(len(cid) + 1))
+        size = np.diff(cut)
+        names, comp = np.unique(table["comp"].to_numpy(), return_inverse=True)
+        leader = np.arange(len(names))
+
+        outer, resident, is_outer = (table[c].to_numpy(zero_copy_only=False) for c in ("outer", "resident", "is_outer"))
+        bands = band_hashes(signature)
+        here = bands == np.int64(key[0].as_py()).view(np.uint64)
+        earlier = bands[:, : int(here.all(0).argmax())]
+        found: list[tuple[int, int]] = []
+        residents = np.flatnonzero(resident)
         for x in np.flatnonzero(outer):
-            others = residents[comp[residents] != comp[x]]
-            if not len(others):
+            y = residents[(leader[comp[residents]] != leader[comp[x]]) & ~(is_outer[residents] & (cid[residents] < cid[x]))]
+            y = y[~(earlier[x] == earlier[y]).any(1)]
+            if not len(y):
+                continue
+            y = y[surviving(np.broadcast_to(signature[x], (len(y), HASHES)), signature[y], least)[0]]
+            if not len(y):
                 continue
-            keep, matches = surviving(np.broadcast_to(signature[x], (len(others), HASHES)), signature[others], least)
-            others = others[keep]
-            order = np.lexsort((cid[others], -matches, comp[others]))
-            others, matches = others[order], matches[order]
-            more = np.zeros(len(others), bool)
-            if most is not None and len(others):
-                start = np.flatnonzero(np.r_[True, comp[others][1:] != comp[others][:-1]])
-                size = np.diff(np.r_[start, len(others)])
-                rank = np.arange(len(others)) - np.repeat(start, size)
-                more = np.repeat(size > most, size)[rank < most]
-                others, matches = others[rank < most], matches[rank < most]
-            if len(others):
-                out.append(np.stack([np.minimum(cid[x], cid[others]), np.maximum(cid[x], cid[others]), matches, more.astype(np.int64)]))
-        found = np.concatenate(out, 1) if out else np.zeros((4, 0), np.int64)
-        return pa.table([*map(pa.array, found[:3]), pa.array(found[3].astype(bool))], ["a", "b", "matches", "more"])
+            own = h[cut[x] : cut[x + 1]]
+            before = np.cumsum(size[y]) - size[y]
+            theirs = h[np.arange(int(size[y].sum())) + np.repeat(cut[y] - before, size[y])]
+            at = np.searchsorted(own, theirs)
+            at[at == len(own)] = 0
+            shared = np.add.reduceat((own[at] == theirs).astype(np.int64), before)
+            for z in y[100 * shared >= percent * (len(own) + size[y] - shared)].tolist():
+                one, two = leader[comp[x]], leader[comp[z]]
+                if one != two:
+                    leader[leader == two] = one
+                    found.append((int(cid[x]), int(cid[z])))
+        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -237,32 +250,33 @@ class Linker:
         sides = stars.join(c.select(F.col("cid").alias("b"), F.col("signature").alias("sb")), "b").join(c.select(F.col("cid").alias("a"), F.col("signature").alias("sa")), "a")
         pairs = saved(sides.select("a", "b", "sa", "sb").mapInArrow(compared(self.least), "a long, b long, matches long"), work_dir(self.spark, "pairs"))
         labels = self.settle(pairs)
-        for most in (4, None):
-            found = self.tiles(members, labels, most)
-            if found is None:
-                break
-            new = self.open(found.groupBy("a", "b").agg(F.max("matches").alias("matches"), F.max("more").alias("more")), labels)
-            new = saved(new.join(pairs.select("a", "b", F.lit(True).alias("seen")), ["a", "b"], "left"), work_dir(self.spark, "new"))
-            fresh = new.where(F.col("seen").isNull())
-            if not fresh.isEmpty():
-                labels = self.settle(fresh.select("a", "b", "matches"))
-            if new.where("more").isEmpty():
-                break
-        return labels
+        rows = self.tiles(members, labels)
+        if rows.isEmpty():
+            return labels
+        texts = self.texts.select(F.col("doc_id").alias("cid"), "text")
+        full = rows.join(self.classes.select("cid", "signature"), "cid").join(texts, "cid").select(*rows.columns, "signature", "text")
+        found = saved(full.groupBy("bucket", "i", "j").applyInArrow(tiled(self.least, self.shingle, self.percent), "a long, b long"), work_dir(self.spark, "tiled"))
+        if found.isEmpty():
+            return labels
+        self.links = self.links.union(found)
+        return self.labels()
 
-    def tiles(self, members: DataFrame, labels: DataFrame, most: int | None) -> DataFrame | None:
-        """Survivors among candidate pairs of buckets that hold several components, except the stars; None if there are none."""
+    def tiles(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, dealt to tiles (i: outer classes, j: residents) of about TILE
+        of either kind. Outer: outside the bucket's largest component."""
         known = members.select("bucket", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
         sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where((F.col("comps") > 1) & (F.col("size") > 2))
-        rows = known.join(split, "bucket").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("outer", F.col("comp") != F.col("main"))
-        home = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
-        rows = rows.withColumn("tile", F.explode(F.when(F.col("outer"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(home)))).withColumn("resident", F.col("tile") == home)
-        rows = saved(rows.select("bucket", "tile", "cid", "comp", "outer", "resident"), work_dir(self.spark, "tiles"))
-        if rows.isEmpty():
-            return None
-        full = rows.join(self.classes.select("cid", "signature"), "cid").select("bucket", "tile", "cid", "comp", "outer", "resident", "signature")
-        return saved(full.groupBy("bucket", "tile").applyInArrow(tiled(self.least, most), "a long, b long, matches long, more boolean"), work_dir(self.spark, "tiled"))
+        split = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.max("n").alias("largest"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+        split = split.where((F.col("comps") > 1) & (F.col("size") > 2))
+        rows = known.join(split, "bucket").withColumn("is_outer", F.col("comp") != F.col("main"))
+        number = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
+        rows = rows.withColumns({"outers": number(F.col("size") - F.col("largest")), "residents": number(F.col("size"))})
+        rows = rows.withColumns({"own_i": F.pmod(F.xxhash64("cid", F.lit(1)), "outers").cast("int"), "own_j": F.pmod(F.xxhash64("cid"), "residents").cast("int")})
+        across = F.transform(F.sequence(F.lit(0), F.col("residents") - 1), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j")))
+        down = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j")))
+        rows = rows.withColumn("tile", F.explode(F.when(F.col("is_outer"), F.array_union(across, down)).otherwise(down))).withColumns({"i": F.col("tile.i"), "j": F.col("tile.j")})
+        rows = rows.withColumns({"outer": F.col("is_outer") & (F.col("i") == F.col("own_i")), "resident": F.col("j") == F.col("own_j")})
+        return saved(rows.select("bucket", "i", "j", "cid", "comp", "is_outer", "outer", "resident"), work_dir(self.spark, "tiles"))
 
 
 def near_dups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
