@@ -37,10 +37,12 @@ from ._shared import chunks, posix, work_dir
 from ._text import U, mix, powers, prefix, raw, spans
 from .ngram_lm import BLOCKS, Arrays, Pending, by_hash, merge, rows_of, write_array
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Bytes of contexts that a map task gathers before it sends them on, and that a shard sorts at a time (whole anchors).
-GATHERED = 24 << 20
+GATHERED = 12 << 20
 SORTED = 2 << 20
+#: Contexts (of two widths at most) that are hashed at a time.
+HASHED = 8192
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -205,9 +207,12 @@ def binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
 
 def first_of_equal(t: pa.Table) -> tuple[pa.Table, pa.Table]:
     """Contexts with the earliest place of each (hash, surroundings); the rest."""
-    data, at = raw_bytes(t["bytes"])
     doc, p, text = t["doc"].to_numpy(), t["p"].to_numpy(), t["text"].to_numpy()
-    same = mix(spans(prefix(data), at[:-1], at[1:]) + mix(t["hash"].to_numpy() + t["before"].to_numpy().astype(np.uint64)))
+    same = np.empty(len(t), np.uint64)
+    for at in range(0, len(t), HASHED):  # prefix hashes take eight bytes for each byte
+        part = t.slice(at, HASHED)
+        data, cut = raw_bytes(part["bytes"])
+        same[at : at + HASHED] = mix(spans(prefix(data), cut[:-1], cut[1:]) + mix(part["hash"].to_numpy() + part["before"].to_numpy().astype(np.uint64)))
     order = np.lexsort((p, text, doc, same))
     first = np.r_[True, same[order][1:] != same[order][:-1]] if len(order) else np.zeros(0, bool)
     return t.take(pa.array(np.sort(order[first]))), t.take(pa.array(order[~first]))
