@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ._text import prefix, spans
+from ._text import U, mix, prefix, spans
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -53,4 +53,5 @@ def anchors(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, n
         right = same & (hp[1:] < hp[:-1])
         hi[:-1] = np.where(right, np.minimum(hi[:-1], p[1:] - reach), hi[:-1])
     keep = lo <= hi
-    return row[keep], p[keep], hp[keep], lo[keep], hi[keep]
+    # least hashes lie low: mixed once more, they spread evenly over shards
+    return row[keep], p[keep], mix(hp[keep] ^ U(0x8C72E1A5D3B9F467)), lo[keep], hi[keep]

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ._shared import chunks
 
@@ -109,7 +110,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     table = np.array([prototypes[k] / max(np.linalg.norm(prototypes[k]), 1e-30) for k in names], np.float32)
     dimensions = table.shape[1] if names else DIMENSIONS
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = f"{', '.join(f'`{c}` {docs.schema[c].dataType.simpleString()}' for c in kept)}, lang_pred string, score double"
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(dimensions)

@@ -14,6 +14,7 @@ from .language_id import language_id
 from .line_dedup import SQL as LINE_DEDUP_SQL
 from .line_dedup import line_dedup
 from .near_dups import near_dups
+from .nearest import nearest
 from .ngram_lm import score_held_out
 from .packing import pack_texts
 from .repeated_spans import repeated_spans
@@ -61,6 +62,11 @@ def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(table(spark, sf_dir, "documents"))
 
@@ -70,7 +76,7 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (op1_token_counts, op2_line_dedup, op3_language_id, op4_decontamination, op5_packing, op6_html_extraction, op7_near_dups, op9_lm_scoring, op10_repeated_spans)
+    names = (op1_token_counts, op2_line_dedup, op3_language_id, op4_decontamination, op5_packing, op6_html_extraction, op7_near_dups, op8_nearest, op9_lm_scoring, op10_repeated_spans)
     return {f.__name__: f for f in names}
 
 

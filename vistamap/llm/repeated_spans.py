@@ -6,8 +6,10 @@ suffixes at the same anchor have to be sorted against each other:
 
 1. Anchor hashes are counted, in packed sorted blocks as in ngram_lm; those that occur once are settled.
 2. For every occurrence of the others, the bytes of the windows that the anchor owns go to the shard of its hash. A map task
-   sends equal surroundings once, with their earliest place; what it saw later is marked there and then, so a passage in a third
-   of all documents costs each task one context for each different surrounding.
+   sends equal surroundings once, with their earliest place; what it saw later is marked there and then. Of anchors with
+   more than HOT occurrences, whose surroundings may differ without end, the windows are sent instead, each to the shard of its
+   own 128-bit hash and equal ones once a task: no shard gets more rows for an anchor than HOT or for a window than
+   map tasks send.
 3. A shard sorts, for each anchor, the suffixes that start at it, and likewise the reversed prefixes that end at it, by mergesort.
    Two suffixes are compared by their longest common extension: a binary search over prefix polynomial hashes. The common
    extensions of neighbours in the two orders then tell for each window which earlier window it equals. The bytes of all
@@ -40,7 +42,11 @@ from .ngram_lm import BLOCKS, Arrays, Pending, by_hash, merge, rows_of, write_ar
 SHARD_BYTES = 8 << 20
 #: Bytes of contexts that a map task gathers before it sends them on, and that a shard sorts at a time (whole anchors).
 GATHERED = 12 << 20
-SORTED = 2 << 20
+SORTED = 1 << 20
+#: Bytes of texts that a map task works on at a time.
+READ = 1 << 19
+#: Occurrences of an anchor up to which its contexts are sorted together.
+HOT = 5000
 #: Contexts (of two widths at most) that are hashed at a time.
 HASHED = 8192
 NULL_ID = np.iinfo(np.int64).min
@@ -185,6 +191,7 @@ def text_hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 CONTEXT = pa.schema([("hash", pa.uint64()), ("doc", pa.int64()), ("text", pa.uint64()), ("p", pa.int64()), ("before", pa.int16()), ("after", pa.int16()), ("bytes", pa.large_binary())])
+WINDOW = pa.schema([("h1", pa.uint64()), ("h2", pa.uint64()), ("doc", pa.int64()), ("text", pa.uint64()), ("start", pa.int64())])
 DECIDED = pa.schema([("who", pa.uint64()), ("from", pa.int64()), ("to", pa.int64())])
 
 
@@ -215,7 +222,45 @@ def first_of_equal(t: pa.Table) -> tuple[pa.Table, pa.Table]:
         same[at : at + HASHED] = mix(spans(prefix(data), cut[:-1], cut[1:]) + mix(part["hash"].to_numpy() + part["before"].to_numpy().astype(np.uint64)))
     order = np.lexsort((p, text, doc, same))
     first = np.r_[True, same[order][1:] != same[order][:-1]] if len(order) else np.zeros(0, bool)
-    return t.take(pa.array(np.sort(order[first]))), t.take(pa.array(order[~first]))
+    lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]  # a repeated row is no earlier place of its own
+    later = (doc[order] != doc[lead]) | (text[order] != text[lead]) | (p[order] != p[lead])
+    return t.take(pa.array(np.sort(order[first]))), t.take(pa.array(order[later]))
+
+
+def windows(t: pa.Table, width: int) -> Iterator[pa.Table]:
+    """The windows that contexts own, by hashes of their halves, some contexts at a time."""
+    for at in range(0, len(t), HASHED):
+        part = t.slice(at, HASHED)
+        data, cut = raw_bytes(part["bytes"])
+        before, after = part["before"].to_numpy().astype(np.int64), part["after"].to_numpy().astype(np.int64)
+        count = before + after + 1
+        of = np.repeat(np.arange(len(part)), count)
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        start, sums = cut[of] + step, prefix(data)
+        middle = start + width // 2
+        columns = [spans(sums, start, middle), spans(sums, middle, start + width), part["doc"].to_numpy()[of], part["text"].to_numpy()[of], (part["p"].to_numpy() - before)[of] + step]
+        yield first_window(pa.table(columns, schema=WINDOW))
+
+
+def first_window(t: pa.Table) -> pa.Table:
+    """Windows in order of their hashes and places, equal ones of one place once."""
+    columns = [c.to_numpy() for c in t.columns]
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
+    return pa.table([c[new] for c in columns], schema=WINDOW)
+
+
+def later_windows(t: pa.Table, width: int) -> tuple[pa.Table, pa.Table]:
+    """Of sorted windows, those with the earliest place; removed runs of the rest."""
+    h1, h2 = t["h1"].to_numpy(), t["h2"].to_numpy()
+    first = np.ones(len(t), bool)
+    first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    rest = t.filter(pa.array(~first))
+    start = rest["start"].to_numpy()
+    return t.filter(pa.array(first)), pa.table(list(joined(identity(rest["doc"].to_numpy(), rest["text"].to_numpy()), start, start + width)), schema=DECIDED)
 
 
 def raw_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,21 +346,22 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     docs = docs.select("doc_id", "text")
     shards = max(4, int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     root = posix(work_dir(spark, "repeats"))
-    repeated, removed = Arrays(f"{root}/anchors", [0] * (shards + 1), ("key",)), Arrays(f"{root}/runs", [0] * (shards + 1), ("who", "from", "to"))
+    repeated, removed = Arrays(f"{root}/anchors", [0] * (shards + 1), ("key", "count")), Arrays(f"{root}/runs", [0] * (shards + 1), ("who", "from", "to"))
     shard_of = by_hash(shards)
 
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending = Pending(shard_of)
+        pending = Pending(shard_of, 1_000_000)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", READ):
                 data, at = raw(part.column(1))
                 keys, counts = np.unique(anchors(data, at, width)[2], return_counts=True)
-                yield from pending.add(keys, np.minimum(counts, 2))
+                yield from pending.add(keys, counts)
         yield from pending.end()
 
     def merge_anchors(key: tuple, table: pa.Table) -> pa.Table:
         keys, counts = merge(table, 1)
         os.makedirs(f"{root}/anchors", exist_ok=True)
+        write_array(f"{root}/anchors/{key[0].as_py()}.count.npy", np.minimum(counts[counts > 1], 1 << 30).astype(np.int32))
         write_array(f"{root}/anchors/{key[0].as_py()}.key.npy", keys[counts > 1])
         return pa.table([pa.array([int((counts > 1).sum())], pa.int64())], ["n"])
 
@@ -338,11 +384,18 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             t, later = first_of_equal(pa.concat_tables(held))
-            yield from by_shard(t, "hash", shard_of, "context")
-            yield from by_shard(decided(later, width), "who", shard_of, "decided")
+            distinct, back = np.unique(t["hash"].to_numpy(), return_inverse=True)
+            hot = repeated.find(distinct, shard_of(distinct))[1][0][back] > HOT
+            yield from by_shard(t.filter(pa.array(~hot)), "hash", shard_of, "context")
+            runs = [decided(later, width)]
+            if hot.any():
+                firsts, more = later_windows(first_window(pa.concat_tables(windows(t.filter(pa.array(hot)), width))), width)
+                yield from by_shard(firsts, "h1", shard_of, "window")
+                runs.append(more)
+            yield from by_shard(pa.concat_tables(runs), "who", shard_of, "decided")
 
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", READ):
                 t, later = first_of_equal(contexts(part))
                 yield from by_shard(decided(later, width), "who", shard_of, "decided")
                 held.append(t)
@@ -354,7 +407,8 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
             yield from flush()
 
     def sort_shard(key: tuple, table: pa.Table) -> pa.Table:
-        got = pa.concat_tables([unpacked(table, "decided", DECIDED), *sorted_out(unpacked(table, "context", CONTEXT), width)])
+        _, runs = later_windows(first_window(unpacked(table, "window", WINDOW)), width)
+        got = pa.concat_tables([unpacked(table, "decided", DECIDED), runs, *sorted_out(unpacked(table, "context", CONTEXT), width)])
         got = pa.table(list(joined(*(c.to_numpy() for c in got.columns))), schema=DECIDED)
         out = list(by_shard(got, "who", shard_of, "decided"))
         return pa.Table.from_batches(out) if out else pa.table([pa.array([], pa.int32()), pa.array([], pa.string()), pa.array([], pa.binary())], ["shard", "kind", "block"])
@@ -372,7 +426,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", READ):
                 data, at = raw(part.column(1))
                 who = identity(ids(part.column(0)), text_hash(data, at))
                 shard = shard_of(who)
