@@ -8,7 +8,8 @@
    are containers; classes are nested by the paths of their tags. What lies between the template's tokens are its slots.
 3. The main container is an <article> or <main> of the template, or else the innermost container that holds most of the slots' text
    which isn't in links or in parts that are named as something else. Its slots, read from the pages once more,
-   are the text; text nodes of the template itself, and slots in menus, adverts, comments and the like, are left out.
+   are the text; blocks that hold nothing but text of the template, and slots in menus, adverts, comments and the like, are
+   left out.
 
 A host with fewer than PAGES pages has no template: its pages are cut by their structure alone. If no text but the template's
 is in a page's main container (all pages of the host alike), that text stays.
@@ -213,15 +214,16 @@ def extracted(page: str, texts: frozenset[int], path: str | None) -> str:
     else:
         inside = lambda n: n.path == path or n.path.startswith(path + "/")
     for fixed in (texts, frozenset()):
-        blocks: list[list[str]] = [[]]
+        blocks: list[tuple[list[str], list[bool]]] = [([], [])]
         for what, node in seen:
             if what == "\n":
-                blocks.append([])
+                blocks.append(([], []))
             elif what == " ":
-                blocks[-1].append(" ")
-            elif what and inside(node) and not node.other and not (fixed and number("text", node.path, " ".join(what[1:].split())) in fixed):
-                blocks[-1].append(what[1:])
-        out = [x for x in (" ".join("".join(b).split()) for b in blocks) if x]
+                blocks[-1][0].append(" ")
+            elif what and inside(node) and not node.other:
+                blocks[-1][0].append(what[1:])
+                blocks[-1][1].append(not fixed or number("text", node.path, " ".join(what[1:].split())) not in fixed)
+        out = [x for x in (" ".join("".join(b).split()) for b, slots in blocks if any(slots)) if x]
         if out or not texts:
             break
     return "\n".join(out)
