@@ -174,7 +174,7 @@ def staged(points: DataFrame, n: int, gamma: float = 1.0, wgamma: float = 1.0, s
         chosen.append(int(ids[k]))
         weight.append(mass[c] ** (wgamma / gamma) if gamma else 1.0)
     total = sum(weight) or 1.0
-    return points.sparkSession.createDataFrame([(k, i, v / total) for k, (i, v) in enumerate(zip(chosen, weight))], "rank int, id long, weight double")
+    return points.sparkSession.createDataFrame([(k, i, float(v / total)) for k, (i, v) in enumerate(zip(chosen, weight))], "rank int, id long, weight double")
 
 
 def nearest_landmark(points: DataFrame, landmarks: DataFrame, metric: Metric = Metric()) -> DataFrame:

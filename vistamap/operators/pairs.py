@@ -33,7 +33,8 @@ def self_tiles(df: DataFrame, function: Callable[[pa.Table, pa.Table, np.ndarray
     blocks = max(1, -(-df.count() // block))
     dealt = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = dealt.select(*df.columns, F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"))
-    right = dealt.select(*df.columns, F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
+    # new names of the same columns: a side whose columns are the other's own would lose them
+    right = dealt.select(*(F.col(c).alias(c) for c in df.columns), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
 
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = a["id"].to_numpy(), b["id"].to_numpy()

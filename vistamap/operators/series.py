@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 def lagged(series: DataFrame, lags: int, other: str = "v") -> DataFrame:
     """series, h, s (sum of a_i * b_(i-h)), n (products): a row per lag 0 .. lags - 1."""
     by = Window.partitionBy("series").orderBy("t", "id")
-    columns = [F.when(F.lag(other, h).over(by).isNotNull(), F.struct(F.lit(h).alias("h"), (F.col("v") * F.lag(other, h).over(by)).alias("p"), F.col("v").alias("a"), F.lag(other, h).over(by).alias("b"))) for h in range(lags)]
-    rows = series.select("series", F.explode(F.array_compact(F.array(*columns))).alias("x"))
+    wide = series.select("series", "v", *(F.lag(other, h).over(by).alias(f"back{h}") for h in range(lags)))
+    each = [F.struct(F.lit(h).alias("h"), (F.col("v") * F.col(f"back{h}")).alias("p"), F.col("v").alias("a"), F.col(f"back{h}").alias("b")) for h in range(lags)]
+    rows = wide.select("series", F.explode(F.array(*each)).alias("x")).where(F.col("x.p").isNotNull())
     return rows.groupBy("series", F.col("x.h").alias("h")).agg(F.sum("x.p").alias("s"), F.sum("x.a").alias("later"), F.sum("x.b").alias("earlier"), F.count("*").alias("n"))
 
 

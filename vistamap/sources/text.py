@@ -114,7 +114,7 @@ def layout_lines(layout: DataFrame, error: bool = False) -> DataFrame:
     return layout.select("id", (F.concat_ws(" ", v, scientific(F.col("error"))) if error else v).alias("value"))
 
 
-def record_lines(layout: DataFrame, points: DataFrame, name: str = "SKETCHMAP") -> DataFrame:
+def record_lines(layout: DataFrame, points: DataFrame, name: str = "LD") -> DataFrame:
     """value: one REMARK record a point with its weight, its layout coordinates and its own coordinates."""
     rows = layout.join(points, "id")
     args = lambda c, prefix: F.array_join(F.transform(c, lambda x, k: F.concat(F.lit(prefix + "."), (k + 1).cast("string"), F.lit("="), scientific(x))), " ")
