@@ -8,13 +8,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vistamap.functions import generators, interpolation
+from vistamap.functions import matrix_functions as mf
 from vistamap.functions.metrics import Metric
 from vistamap.functions.transfer import Transfer
-from vistamap.operators import columns, embedding, histogram, landmarks, matrices, neighbors, pairs, projection, series, stress, surfaces
+from vistamap.operators import columns, embedding, histogram, landmarks, matrices, neighbors, optimizers, pairs, projection, series, stress, surfaces
 from vistamap.operators.histogram import Axis
+from vistamap.sources import text
+from vistamap.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -687,5 +692,184 @@ def coo_add_diagonal(spark, sf_dir):
     return matrices.add_diagonal(_matrix(spark, sf_dir), 3.0, 10)
 
 
+# --- text tables, written and read again
+
+
+def _text(spark: SparkSession, rows: DataFrame, order: str = "id", header: list[str] = ()) -> str:
+    path = landmarks.shared_path(spark, "text")
+    text.write_lines(rows, path, order, list(header))
+    return f"{path}/*" if header else path
+
+
+@query("select vec_id id, round(list_sum(embedding::double[]), 6)::double total, (1 + label)::double w from embeddings")
+def points_text(spark, sf_dir):
+    """Points with a weight as whitespace-separated text, and back; ids are positions."""
+    p = points(spark, sf_dir)
+    path = _text(spark, text.layout_lines(p.select("id", F.concat("x", F.array("w")).alias("y"))), header=["# points and weights"])
+    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
+    return text.read_points(spark, path, 64, weighted=True).select("id", r6(total, "total"), "w")
+
+
+@query("select vec_id id, printf('%.8e %.8e', embedding[1]::double, embedding[2]::double) line from embeddings")
+def layout_text(spark, sf_dir):
+    return text.layout_lines(points(spark, sf_dir), digits=8).select("id", F.col("value").alias("line"))
+
+
+@query("select vec_id id, round(embedding[1]::double, 6)::double y1, round(embedding[2]::double, 6)::double y2, round(embedding[3]::double, 6)::double x3, (1 + label)::double w from embeddings")
+def landmark_files(spark, sf_dir):
+    """Points and layout from two files, joined by position."""
+    p = points(spark, sf_dir)
+    high = _text(spark, text.layout_lines(p.select("id", F.concat("x", F.array("w")).alias("y"))))
+    low = _text(spark, text.layout_lines(p))
+    y = F.col("y")
+    return text.read_landmarks(spark, high, low, 64, 2, True).select("id", r6(y[0], "y1"), r6(y[1], "y2"), r6(F.col("x")[2], "x3"), "w")
+
+
+@query("select row_number() over (order by o_orderkey) - 1 frame, o_orderkey::double okey, round(o_totalprice, 4)::double price from orders")
+def columns_text(spark, sf_dir):
+    """A table with a line of field names."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", F.col("o_orderkey").cast("string"), F.format_string("%.4f", "o_totalprice")).alias("value"))
+    return text.read_columns(spark, _text(spark, rows, "o_orderkey", ["#! FIELDS okey price", "#! SET comment 1"]))
+
+
+@query("with f as (select l_quantity x, l_linenumber::double y, round(avg(l_extendedprice) / 10000, 4)::double z from lineitem group by 1, 2) select 0 frame, x, y, z from f")
+def surface_text(spark, sf_dir):
+    rows = _surface(spark, sf_dir).select("x", "y", F.concat_ws("  ", *(F.format_string("%.6f", c) for c in ("x", "y", "z"))).alias("value"))
+    path = landmarks.shared_path(spark, "surface")
+    text.write_lines(rows, path, "x")
+    return text.read_surface(spark, path)
+
+
+@query("with g as (select l_quantity x, l_linenumber y, count(*) n from lineitem group by 1, 2) select x, string_agg(printf('%.3e', x) || ' ' || printf('%.3e', y::double) || ' ' || printf('%.3e', n::double), chr(10) order by y) || chr(10) as value from g group by x")
+def grid_text(spark, sf_dir):
+    """Blocks of a grid for a plotting program."""
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("x"), F.col("l_linenumber").cast("double").alias("y")).agg(F.count("*").cast("double").alias("n"))
+    return text.grid_lines(g, "x", "y", ["x", "y", "n"], 3)
+
+
+@query(P + "select i, j, round(hd, 6)::double d from p")
+def similarity_source(spark, sf_dir):
+    """A square matrix of distances, a row for each point, as pairs."""
+    p = points(spark, sf_dir)
+    d = pairs.pair_join(p)
+    both = d.unionByName(d.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")).unionByName(p.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d")))
+    rows = both.groupBy(F.col("i").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "d"))), lambda x: x["d"]).alias("x"))
+    return pairs.similarity_pairs(rows).select("i", "j", r6("d", "d"))
+
+
+@query("select p_partkey, list_sum(list_transform(string_split(p_size || ', 2.5,' || p_partkey, ','), lambda t: trim(t)::double)) total from part")
+def split_numbers(spark, sf_dir):
+    line = F.concat(F.col("p_size").cast("string"), F.lit(", 2.5,"), F.col("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.aggregate(text.split_floats(line), F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
+# --- numbers, matrices and optimisers
+
+
+@query("""with recursive g as (select 0 k, (12345::hugeint * 65536 + 13070) % 281474976710656::hugeint x union all select k + 1, (x * 25214903917::hugeint + 11) % 281474976710656::hugeint from g where k < 50)
+select k, round(x / 281474976710656.0::double, 9)::double u from g where k > 0""")
+def random_draws(spark, sf_dir):
+    draw = generators.Drand48(12345)
+    return spark.createDataFrame([(k, round(draw(), 9)) for k in range(1, 51)], "k int, u double")
+
+
+_COV = "with x as (select vec_id, unnest(embedding::double[]) v, generate_subscripts(embedding, 1) k from embeddings), m as (select a.k i, b.k j, covar_pop(a.v, b.v) c from x a join x b using (vec_id) group by 1, 2)"
+
+
+@query(_COV + " select round(sum(c) filter (i = j), 8)::double trace, round(sum(c * c), 8)::double squares, true inverse, true root, true factor from m")
+def covariance_algebra(spark, sf_dir):
+    """Eigenvalues, inverse, square root and Cholesky factor of the coordinates' covariance; their defining properties must hold."""
+    p = points(spark, sf_dir)
+    x = p.select("id", F.posexplode("x").alias("k", "v"))
+    n = p.count()
+    mean = x.groupBy("k").agg(F.avg("v").alias("m"))
+    c = x.join(mean, "k").select("id", "k", (F.col("v") - F.col("m")).alias("v"))
+    m = matrices.multiply(c.select(F.col("k").alias("i"), F.col("id").alias("j"), "v"), c.select(F.col("id").alias("i"), F.col("k").alias("j"), "v"))
+    rows = m.toArrow().to_pydict()  # as many places as pairs of coordinates
+    size = max(rows["i"]) + 1
+    a = np.zeros((size, size))
+    a[rows["i"], rows["j"]] = np.array(rows["v"]) / n
+    q, _ = mf.eigen_symmetric(a)
+    near = lambda u, v: bool(np.abs(u - v).max() < 1e-8)
+    root, factor = mf.function_symmetric(a, lambda v: np.sqrt(np.maximum(v, 0))), mf.cholesky_stable(a)
+    b = a + np.eye(size)
+    ok = near(mf.pseudo_inverse(b) @ b, np.eye(size)) and near(mf.newton_inverse(b), np.linalg.inv(b)) and near(mf.solve(b, b), np.eye(size))
+    return spark.createDataFrame([(round(float(q.sum()), 8), round(float((q * q).sum()), 8), ok, near(root @ root, a), near(factor @ factor.T, a))], "trace double, squares double, inverse boolean, root boolean, factor boolean")
+
+
+@query("select * from (values ('blocks', true), ('chebyshev', true), ('exponential', true), ('horner', true), ('powers', true)) t(method, agrees)")
+def matrix_polynomials(spark, sf_dir):
+    """Polynomials and exponential of the scaled order matrix of regions against eigenvalues."""
+    rows = table(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") % 5).alias("i"), (F.col("c_custkey") % 5).alias("j")).agg(F.count("*").alias("n")).toArrow().to_pydict()
+    a = np.zeros((5, 5))
+    a[rows["i"], rows["j"]] = rows["n"]
+    a = (a + a.T) / (2 * max(np.abs(a).sum(1).max(), 1.0))
+    c = [1.0, -0.5, 0.25, 2.0, -1.0, 0.125, 0.5]
+    exact = mf.function_symmetric(a, lambda v: sum(x * v**k for k, x in enumerate(c)))
+    e = mf.function_symmetric(a, np.exp)
+    got = {m: (mf.polynomial(a, c, m), exact) for m in ("horner", "powers", "blocks")}
+    got |= {"exponential": (mf.exponential(a), e), "chebyshev": (mf.chebyshev(a, mf.chebyshev_coefficients(np.exp, 24, -1.5, 1.5), -1.5, 1.5), e)}
+    return spark.createDataFrame([(k, bool(np.abs(u - v).max() < 1e-9)) for k, (u, v) in got.items()], "method string, agrees boolean")
+
+
+@query("select * from (values ('annealing', true), ('conjugate gradient', true), ('nelder-mead', true), ('nested sampling', true), ('parallel tempering', true), ('powell', true), ('steepest descent', true)) t(method, found)")
+def optimiser_minima(spark, sf_dir):
+    """Every minimiser on a curved valley whose minimum is known."""
+    f = lambda x: (1 - x[0]) ** 2 + 4 * (x[1] - x[0] ** 2) ** 2
+    fg = lambda x: (f(x), np.array([-2 * (1 - x[0]) - 16 * x[0] * (x[1] - x[0] ** 2), 8 * (x[1] - x[0] ** 2)]))
+    x = np.array([-1.0, 1.5])
+    rng = np.random.default_rng(3)
+    got = {
+        "nelder-mead": optimizers.nelder_mead(f, optimizers.simplex_around(x)), "conjugate gradient": optimizers.conjugate_gradient(fg, x, 60), "steepest descent": optimizers.steepest_descent(fg, x, 400),
+        "powell": optimizers.powell(f, x), "annealing": optimizers.anneal(f, x, 1.0, 1e-7, 4000), "nested sampling": optimizers.nested_sampling(f, rng.uniform(-2, 2, (30, 2)), 1500),
+        "parallel tempering": optimizers.parallel_tempering(fg, x, np.geomspace(1e-6, 0.3, 5), 3000, 0.05),
+    }
+    return spark.createDataFrame([(k, bool(v < 1e-3 and np.abs(p - 1).max() < 0.1)) for k, (p, v) in got.items()], "method string, found boolean")
+
+
+@query("select * from (values ('bicubic', true), ('spline', true), ('spline slope', true)) t(table_of, close)")
+def interpolation_tables(spark, sf_dir):
+    knots = np.linspace(0, 2 * np.pi, 200)
+    x = np.linspace(1, 5, 57)
+    s = interpolation.Spline(knots, np.sin(knots))
+    g = np.linspace(-1, 1, 41)
+    b = interpolation.Bicubic(g, g, np.sin(g)[:, None] * np.cos(g)[None], np.cos(g)[:, None] * np.cos(g)[None], -np.sin(g)[:, None] * np.sin(g)[None])
+    z = np.linspace(-0.9, 0.9, 33)
+    errors = {"spline": np.abs(s(x) - np.sin(x)).max() < 1e-6, "spline slope": np.abs(s.slope(x) - np.cos(x)).max() < 1e-4, "bicubic": np.abs(b(z, z) - np.sin(z)[:, None] * np.cos(z)[None]).max() < 1e-5}
+    return spark.createDataFrame([(k, bool(v)) for k, v in errors.items()], "table_of string, close boolean")
+
+
+# --- streams
+
+
+def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream over the files that are there gives, as a table."""
+    out = landmarks.shared_path(spark, "stream")
+    each = lambda batch, k: batch.write.mode("append").parquet(out)
+    stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of files; the pattern matches a file as well as a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+@query(SQL["path_project"])
+def path_project_stream(spark, sf_dir):
+    _, marks = _marks(spark, sf_dir)
+    arriving = _streamed(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    return _drained(spark, live.path_stream(arriving, marks, 0.3), "append").select("id", r6(F.col("y")[0], "y1"), r6(F.col("y")[1], "y2"))
+
+
+@query("""with s as (select event_type, value v, row_number() over (partition by event_type order by event_id) r from events), m as (select event_type, count(*) n, avg(v) m, var_pop(v) s2 from s group by 1), h as (select range h from range(6))
+select event_type series, h::int h, round(sum((a.v - m) * (b.v - m)) / (max(n) - max(h)) / max(s2), 6)::double acf from h, s a join m using (event_type) join s b using (event_type) where b.r = a.r - h group by event_type, h""")
+def acf_stream(spark, sf_dir):
+    arriving = _streamed(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    got = _drained(spark, live.autocorrelation_stream(arriving, 6, "event_type", "event_id", "value"), "update")
+    last = got.groupBy("series").agg(F.max_by("acf", "n").alias("acf"))
+    return last.select("series", F.posexplode("acf").alias("h", "acf")).select("series", "h", r6("acf", "acf"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_hist_euclid(spark, sf_dir)

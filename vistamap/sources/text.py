@@ -108,10 +108,10 @@ def scientific(value: Column, digits: int = 12) -> Column:
     return F.format_string(f"%.{digits}e", value)
 
 
-def layout_lines(layout: DataFrame, error: bool = False) -> DataFrame:
+def layout_lines(layout: DataFrame, error: bool = False, digits: int = 12) -> DataFrame:
     """value: coordinates (and error) of a row of layout (id, y, [error]), in scientific notation."""
-    v = F.array_join(F.transform("y", lambda x: scientific(x)), " ")
-    return layout.select("id", (F.concat_ws(" ", v, scientific(F.col("error"))) if error else v).alias("value"))
+    v = F.array_join(F.transform("y", lambda x: scientific(x, digits)), " ")
+    return layout.select("id", (F.concat_ws(" ", v, scientific(F.col("error"), digits)) if error else v).alias("value"))
 
 
 def record_lines(layout: DataFrame, points: DataFrame, name: str = "LD") -> DataFrame:
@@ -123,9 +123,9 @@ def record_lines(layout: DataFrame, points: DataFrame, name: str = "LD") -> Data
     return rows.select("id", value.alias("value"))
 
 
-def grid_lines(grid: DataFrame, i: str, j: str, columns: list[str]) -> DataFrame:
+def grid_lines(grid: DataFrame, i: str, j: str, columns: list[str], digits: int = 12) -> DataFrame:
     """value: one block for each i, lines in order of j, for plotting programs."""
-    line = F.concat_ws(" ", *(scientific(F.col(c)) for c in columns))
+    line = F.concat_ws(" ", *(scientific(F.col(c), digits) for c in columns))
     return grid.groupBy(i).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(j), line.alias("t")))), lambda x: x["t"]), "\n").alias("value")).withColumn("value", F.concat("value", F.lit("\n")))
 
 
