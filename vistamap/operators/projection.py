@@ -149,7 +149,9 @@ def minimise(hd: np.ndarray, y: np.ndarray, w: np.ndarray, terms: Terms, mode: s
         got = optimizers.anneal(value, x, *temperatures, steps, float(np.std(x)) or 1.0, seed) if mode == "anneal" else optimizers.parallel_tempering(full, x, np.geomspace(temperatures[1], temperatures[0], 4), steps, seed=seed)
     elif mode == "nested":
         rng = np.random.default_rng(seed)
-        got = optimizers.nested_sampling(value, x + rng.normal(0, float(np.std(x)) or 1.0, (10, len(x))), steps, seed=seed)
+        walkers = x + rng.normal(0, float(np.std(x)) or 1.0, (10, len(x)))
+        walkers[0] = x
+        got = optimizers.nested_sampling(value, walkers, steps, seed=seed)
     else:
         raise ValueError(mode)
     return got[0].reshape(shape), got[1]

@@ -425,9 +425,9 @@ def knn_edges(spark, sf_dir):
     return neighbors.knn(points(spark, sf_dir), 5).select("i", "j", r6("d", "d"), "rank")
 
 
-@query(_KNN.format("where d < 0.9", 8) + " select i, j, round(d, 6)::double d, rank::int rank from k")
+@query(_KNN.format("where d < 1.15", 8) + " select i, j, round(d, 6)::double d, rank::int rank from k")
 def knn_cutoff(spark, sf_dir):
-    return neighbors.knn(points(spark, sf_dir), 8, 0.9).select("i", "j", r6("d", "d"), "rank")
+    return neighbors.knn(points(spark, sf_dir), 8, 1.15).select("i", "j", r6("d", "d"), "rank")
 
 
 @query(_KNN.format("", 5) + ", u as (select i, j, d from k union select j, i, d from k) select i, j, round(min(d), 6)::double d from u group by i, j")
@@ -440,17 +440,17 @@ def knn_liberal(spark, sf_dir):
     return neighbors.liberal(neighbors.knn(points(spark, sf_dir), 5)).select("i", "j", r6("d", "d"))
 
 
-@query(_KNN.format("where d < 0.9", 8) + ", l as (select distinct i from k) select id, row_number() over (order by id) - 1 new_id from e where id in (select i from l)")
+@query(_KNN.format("where d < 1.15", 8) + ", l as (select distinct i from k) select id, row_number() over (order by id) - 1 new_id from e where id in (select i from l)")
 def knn_lonesome(spark, sf_dir):
     """Points that keep an edge, numbered anew."""
     p = points(spark, sf_dir)
-    return neighbors.without_lonesome(p.select("id", "x"), neighbors.knn(p, 8, 0.9)).select("id", "new_id")
+    return neighbors.without_lonesome(p.select("id", "x"), neighbors.knn(p, 8, 1.15)).select("id", "new_id")
 
 
-@query(_KNN.format("where d < 0.9", 8) + " select id, count(k.i) degree from e left join k on k.i = id group by id")
+@query(_KNN.format("where d < 1.15", 8) + " select id, count(k.i) degree from e left join k on k.i = id group by id")
 def knn_degree(spark, sf_dir):
     p = points(spark, sf_dir)
-    return neighbors.degrees(p, neighbors.knn(p, 8, 0.9))
+    return neighbors.degrees(p, neighbors.knn(p, 8, 1.15))
 
 
 @query()
@@ -670,9 +670,9 @@ def coo_norms(spark, sf_dir):
     return matrices.norms(_matrix(spark, sf_dir)).select("one", "inf", r6("frobenius", "frobenius"), "trace")
 
 
-@query(_M + ", c as (select j, sum(abs(v)) s from m group by j) select * from m where abs(v) > (select max(s) * 0.3 from c)")
+@query(_M + ", c as (select j, sum(abs(v)) s from m group by j) select * from m where abs(v) > (select max(s) * 0.05 from c)")
 def coo_trunc(spark, sf_dir):
-    return matrices.truncate(_matrix(spark, sf_dir), 0.3, "one")
+    return matrices.truncate(_matrix(spark, sf_dir), 0.05, "one")
 
 
 @query(_M + ", x as (select p_partkey j, p_size::double x from part) select i, sum(v * x) v from m join x using (j) group by i")

@@ -39,7 +39,8 @@ class Online:
         back = len(self.ring)
         for h in range(self.lags):
             start = max(back, h)
-            self.sums[h] += float(known[start:] @ known[start - h : len(known) - h])
+            if start < len(known):
+                self.sums[h] += float(known[start:] @ known[start - h : len(known) - h])
         self.head += values[: max(0, self.lags - len(self.head))].tolist()
         self.n, self.total, self.squares = self.n + len(values), self.total + float(values.sum()), self.squares + float(values @ values)
         self.ring = known[-self.lags :].tolist()
