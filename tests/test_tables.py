@@ -32,6 +32,27 @@ def test_autocorrelation(spark):
     assert series.cross_correlation(same, 5).orderBy("h").first().ccf == pytest.approx(1)
 
 
+def test_segments_merge(spark):
+    r = np.random.default_rng(6)
+    v, u = r.normal(size=90), r.normal(size=90)
+    whole = series.Segment(6, v, u)
+    for cuts in ([30], [1, 2, 3, 50], list(range(1, 90)), [2, 3, 88]):
+        parts = [series.Segment(6, a, b) for a, b in zip(np.split(v, cuts), np.split(u, cuts))]
+        got = parts[0]
+        for part in parts[1:]:
+            got = got.then(part)
+        assert got.sums == pytest.approx(whole.sums) and got.n == 90 and got.totals == pytest.approx(whole.totals)
+        assert all(getattr(got, c) == pytest.approx(getattr(whole, c)) for c in series.ENDS)
+    frame = spark.createDataFrame([("s", i // 3, i, float(v[i]), float(u[i])) for i in range(90)] + [(None, 0, 1, 2.0, 3.0), ("s", 5, 1000, None, 1.0)], "series string, t long, id long, v double, u double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = {r.h: r for r in series.lagged(frame, 6, "u").where("series = 's'").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for h in range(6):
+        assert (rows[h].s, rows[h].later, rows[h].earlier, rows[h].n) == pytest.approx((v[h:] @ u[: 90 - h], v[h:].sum(), u[: 90 - h].sum(), 90 - h))
+
+
 def test_online_equals_batch():
     x = np.random.default_rng(5).normal(size=500).cumsum()
     online = live.Online(7)

@@ -1,23 +1,77 @@
-"""Auto- and cross-correlation of series (series, t, v), with error estimates.
+"""Auto- and cross-correlation of series (series, t, id, v), with error estimates.
 
-Lags are rows of a window ordered by t; a series is one partition of the window, so time within a series is bounded by what a task can
-sort and spill; the sums over lags are aggregates.
+Rows are dealt by ranges of (series, t, id), so one series may lie in many tasks. Each batch of rows becomes a segment: sums of products
+at every lag, and its first and last `lags` values, from which the products across a border follow. Segments merge in order, a few
+numbers each, so no task ever holds a series. Null values are left out before lags are counted.
 
 Only series longer than `lags` enter the products, as many-series averages have it, but every series counts in mean and deviation."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+class Segment:
+    """Sums over v_i * u_(i - h) of a stretch of a series."""
+
+    def __init__(self, lags: int, v: np.ndarray, u: np.ndarray, totals: tuple[float, float] | None = None, n: int | None = None, sums: np.ndarray | None = None):
+        self.lags, self.n = lags, len(v) if n is None else n
+        self.totals = (float(v.sum()), float(u.sum())) if totals is None else totals
+        self.sums = np.array([v[h:] @ u[: len(u) - h] if h < len(v) else 0.0 for h in range(lags)]) if sums is None else sums
+        self.first_v, self.first_u, self.last_v, self.last_u = v[:lags], u[:lags], v[-lags:], u[-lags:]
+
+    def then(self, other: Segment) -> Segment:
+        sums = self.sums + other.sums
+        for h in range(1, self.lags):
+            back = self.last_u[-h:]  # the value h before other's b-th is back[b] if back is full
+            front = other.first_v[:h]
+            shift = h - len(back)
+            k = min(len(front), h) - shift
+            if k > 0:
+                sums[h] += front[shift : shift + k] @ back[:k]
+        out = Segment(self.lags, np.zeros(0), np.zeros(0), (self.totals[0] + other.totals[0], self.totals[1] + other.totals[1]), self.n + other.n, sums)
+        out.first_v, out.first_u = (np.concatenate(x)[: self.lags] for x in ((self.first_v, other.first_v), (self.first_u, other.first_u)))
+        out.last_v, out.last_u = (np.concatenate(x)[-self.lags :] for x in ((self.last_v, other.last_v), (self.last_u, other.last_u)))
+        return out
+
+
+ENDS = ["first_v", "first_u", "last_v", "last_u"]
+
+
 def lagged(series: DataFrame, lags: int, other: str = "v") -> DataFrame:
-    """series, h, s (sum of a_i * b_(i-h)), n (products): a row per lag 0 .. lags - 1."""
-    by = Window.partitionBy("series").orderBy("t", "id")
-    wide = series.select("series", "v", *(F.lag(other, h).over(by).alias(f"back{h}") for h in range(lags)))
-    each = [F.struct(F.lit(h).alias("h"), (F.col("v") * F.col(f"back{h}")).alias("p"), F.col("v").alias("a"), F.col(f"back{h}").alias("b")) for h in range(lags)]
-    rows = wide.select("series", F.explode(F.array(*each)).alias("x")).where(F.col("x.p").isNotNull())
-    return rows.groupBy("series", F.col("x.h").alias("h")).agg(F.sum("x.p").alias("s"), F.sum("x.a").alias("later"), F.sum("x.b").alias("earlier"), F.count("*").alias("n"))
+    """series, h, s (sum of v_i * u_(i-h)), later (of v_i), earlier (of u_(i-h)), n (products): a row per lag 0 .. lags - 1."""
+    rows = series.where(F.col("v").isNotNull() & F.col(other).isNotNull()).select(F.col("series").cast("string").alias("series"), "t", "id", F.col("v").cast("double").alias("v"), F.col(other).cast("double").alias("u"))
+    dealt = rows.repartitionByRange("series", "t", "id").sortWithinPartitions("series", "t", "id")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("t", "id")}
+    schema = f"series string, t {kinds['t']}, id {kinds['id']}, n long, sums array<double>, " + ", ".join(f"{c} array<double>" for c in ENDS) + ", totals array<double>"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name = np.array(["\0" if x is None else "=" + x for x in batch.column(0).to_pylist()], object)
+            edges = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True]) if len(name) else np.zeros(0, int)
+            v, u = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            got = [Segment(lags, v[a:b], u[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+            at = pa.array(edges[:-1])
+            lists = lambda f: pa.array([list(f(g)) for g in got], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array([g.n for g in got], pa.int64()), lists(lambda g: g.sums), *(lists(lambda g, c=c: getattr(g, c)) for c in ENDS), lists(lambda g: g.totals)], ["series", "t", "id", "n", "sums", *ENDS, "totals"])
+
+    def merged(key: tuple, t: pa.Table) -> pa.Table:
+        whole: Segment | None = None
+        for r in t.sort_by([("t", "ascending"), ("id", "ascending")]).to_pylist():
+            g = Segment(lags, np.zeros(0), np.zeros(0), tuple(r["totals"]), r["n"], np.array(r["sums"]))
+            for c in ENDS:
+                setattr(g, c, np.array(r[c], float))
+            whole = g if whole is None else whole.then(g)
+        h = np.arange(min(lags, whole.n))
+        heads, tails = np.concatenate([[0], np.cumsum(whole.first_v)]), np.concatenate([[0], np.cumsum(whole.last_u[::-1])])
+        return pa.table([pa.array([key[0].as_py()] * len(h), pa.string()), pa.array(h, pa.int32()), whole.sums[h], whole.totals[0] - heads[h], whole.totals[1] - tails[h], pa.array(whole.n - h, pa.int64())], ["series", "h", "s", "later", "earlier", "n"])
+
+    return dealt.mapInArrow(cut, schema).groupBy("series").applyInArrow(merged, "series string, h int, s double, later double, earlier double, n long")
 
 
 def autocorrelation(series: DataFrame, lags: int, mean: float | None = None, deviation: float | None = None) -> DataFrame:
