@@ -49,6 +49,30 @@ def gathered(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t["id"].to_numpy(), matrix(t["x"])
 
 
+def from_pairs(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """ids and the matrix of distances of a similarity relation (i, j, d), symmetric where only one order is given."""
+    ids = np.sort(pairs.select(F.col("i").alias("id")).union(pairs.select("j")).distinct().limit(MOST + 1).toArrow()["id"].to_numpy())
+    if len(ids) > MOST:
+        raise ValueError(f"more than {MOST} points are not embedded at once")
+    t = pairs.select("i", "j", "d").toArrow()
+    hd = np.zeros((len(ids), len(ids)))
+    i, j = np.searchsorted(ids, t["i"].to_numpy()), np.searchsorted(ids, t["j"].to_numpy())
+    hd[i, j] = hd[j, i] = t["d"].to_numpy()
+    return ids, hd
+
+
+def mds_of_pairs(pairs: DataFrame, d: int = 2) -> tuple[DataFrame, dict]:
+    """Classical scaling of a similarity relation."""
+    ids, hd = from_pairs(pairs)
+    y, report = scaling(hd, d)
+    return layout(pairs.sparkSession, ids, y), report
+
+
+def linear_map(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The affine map (last row: shift) that takes rows of x nearest to rows of y, by the pseudo-inverse."""
+    return np.linalg.pinv(np.column_stack([x, np.ones(len(x))])) @ y
+
+
 def oriented(v: np.ndarray) -> np.ndarray:
     """Columns with their largest component positive."""
     return v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)

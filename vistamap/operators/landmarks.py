@@ -99,6 +99,22 @@ def minmax(points: DataFrame, n: int, first: int = 0, metric: Metric = Metric())
     return minmax_distributed(points, n, first, metric)
 
 
+def minmax_of_pairs(pairs: DataFrame, n: int, first: int = 0) -> DataFrame:
+    """rank, id, distance by farthest-point selection over a similarity relation (i, j, d): one pass over the pairs of the
+    newest landmark a round."""
+    spark = pairs.sparkSession
+    both = pairs.select("i", "j", "d").union(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    chosen, marks = [(0, first, 0.0)], [first]
+    while len(chosen) < n:
+        near = both.where(F.col("i").isin(marks) & ~F.col("j").isin(marks)).groupBy("j").agg(F.min("d").alias("d"))
+        top = near.agg(F.max_by(F.struct("j", "d"), F.struct("d", -F.col("j"))).alias("t")).first()["t"]
+        if top is None:
+            break
+        chosen.append((len(chosen), int(top["j"]), float(top["d"])))
+        marks.append(int(top["j"]))
+    return spark.createDataFrame(chosen, "rank int, id long, distance double")
+
+
 def minmax_distributed(points: DataFrame, n: int, first: int, metric: Metric = Metric()) -> DataFrame:
     spark = points.sparkSession
     state = points.select("id", "x", F.lit(float("inf")).alias("least"))

@@ -58,6 +58,17 @@ def project_rows(x: np.ndarray, lx: np.ndarray, ly: np.ndarray, lw: np.ndarray,
     return out
 
 
+def surface_rows(x: np.ndarray, lx: np.ndarray, ly: np.ndarray, lw: np.ndarray, terms: Terms, width: float, coarse: int, fine: int) -> np.ndarray:
+    """The interpolated stress surface of each row of x: fine values a side, flat."""
+    g1, g2 = np.linspace(-width, width, coarse), np.linspace(-width, width, fine)
+    nodes = np.stack(np.meshgrid(g1, g1, indexing="ij"), -1).reshape(-1, 2)
+    out = np.zeros((len(x), fine * fine))
+    for k, row in enumerate(x):
+        value, slope = node_stress(terms.metric.matrix(row[None], lx)[0], ly, lw, nodes, terms, True)
+        out[k] = Bicubic(g1, g1, value.reshape(coarse, coarse), slope[:, 0].reshape(coarse, coarse), slope[:, 1].reshape(coarse, coarse))(g2, g2).ravel()
+    return out
+
+
 def path_rows(x: np.ndarray, lx: np.ndarray, ly: np.ndarray, scale: float, metric: Metric) -> np.ndarray:
     """Mean of the landmarks' places, weighted by exp(-distance / scale)."""
     d = metric.matrix(x, lx)
@@ -95,6 +106,15 @@ def project(points: DataFrame, landmarks: DataFrame, terms: Terms = Terms(), wid
     return _mapped(points, landmarks, lambda x, lx, ly, lw: project_rows(x, lx, ly, lw, terms, width, coarse, fine, temperature, steps), ["error", "true_error", "nearest"])
 
 
+def interpolants(points: DataFrame, landmarks: DataFrame, terms: Terms = Terms(), width: float = 1.0, coarse: int = 21, fine: int = 201) -> DataFrame:
+    """id, gx, gy, f: the surface that `project` takes the minimum of, a row for each node and point."""
+    from pyspark.sql import functions as F
+
+    flat = _mapped(points, landmarks, lambda x, lx, ly, lw: surface_rows(x, lx, ly, lw, terms, width, coarse, fine), [])
+    at = lambda k: -width + k * (2 * width / (fine - 1))
+    return flat.select("id", F.posexplode("y").alias("k", "f")).select("id", at(F.floor(F.col("k") / fine)).alias("gx"), at(F.col("k") % fine).alias("gy"), "f")
+
+
 def path_project(points: DataFrame, landmarks: DataFrame, scale: float, metric: Metric = Metric()) -> DataFrame:
     """id, y of each point on the path of landmarks."""
     return _mapped(points, landmarks, lambda x, lx, ly, lw: path_rows(x, lx, ly, scale, metric), [])

@@ -127,3 +127,10 @@ def cross_correlation(pairs: DataFrame, lags: int) -> DataFrame:
     m = pairs.agg(F.avg("v").alias("mv"), F.avg("u").alias("mu"), F.stddev_pop("v").alias("sv"), F.stddev_pop("u").alias("su"))
     c = (F.col("s") - F.col("mu") * F.col("later") - F.col("mv") * F.col("earlier")) / F.col("n") + F.col("mv") * F.col("mu")
     return each.crossJoin(F.broadcast(m)).select("h", (c / (F.col("sv") * F.col("su"))).alias("ccf"))
+
+
+def acf_fft(x: np.ndarray, lags: int) -> np.ndarray:
+    """Normalised autocorrelation of one array by Fourier transform, padded so that its ends don't meet."""
+    c = np.asarray(x, float) - np.mean(x)
+    f = np.fft.rfft(c, 2 * len(c))
+    return np.fft.irfft(f * f.conj())[:lags] / (len(c) - np.arange(lags)) / c.var()

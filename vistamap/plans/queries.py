@@ -12,11 +12,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistamap.functions import generators, interpolation
+from vistamap.functions import generators, geometry, interpolation
 from vistamap.functions import matrix_functions as mf
 from vistamap.functions.metrics import Metric
 from vistamap.functions.transfer import Transfer
-from vistamap.operators import columns, embedding, histogram, landmarks, matrices, neighbors, optimizers, pairs, projection, series, stress, surfaces
+from vistamap.operators import columns, embedding, histogram, landmarks, matrices, neighbors, optimizers, pairs, projection, series, stress, structures, surfaces
 from vistamap.operators.histogram import Axis
 from vistamap.sources import text
 from vistamap.streaming import live
@@ -839,6 +839,30 @@ def interpolation_tables(spark, sf_dir):
     return spark.createDataFrame([(k, bool(v)) for k, v in errors.items()], "table_of string, close boolean")
 
 
+@query(P + "select i, j, round(hd, 6)::double d from p")
+def mds_similarity(spark, sf_dir):
+    """Classical scaling of a similarity relation in as many dimensions as the points have gives the distances back."""
+    y, _ = embedding.mds_of_pairs(pairs.pair_join(points(spark, sf_dir)), 64)
+    return pairs.pair_join(y.withColumnRenamed("y", "x")).select("i", "j", r6("d", "d"))
+
+
+@query(E + """, a as (select id // 50 frame, id atom, [10 * x[1], 10 * x[2], 10 * x[3]] x from e) select a.frame, a.atom i, b.atom j, round(list_distance(a.x, b.x), 6)::double d from a join a b on a.frame = b.frame and a.atom > b.atom where list_distance(a.x, b.x) < 1.0""")
+def atom_contacts(spark, sf_dir):
+    """Coordinates as atoms, fifty a frame; near pairs by a join on neighbouring cells."""
+    x = F.transform(F.slice("x", 1, 3), lambda v: 10 * v)
+    atoms = points(spark, sf_dir).select(F.floor(F.col("id") / 50).alias("frame"), F.col("id").alias("atom"), x.alias("x"))
+    return structures.contacts(atoms, 1.0).select("frame", "i", "j", r6("d", "d"))
+
+
+@query("""with e as (select vec_id id, embedding::double[] x from embeddings), q as (select a.id, a.x[1:3] a, a.x[4:6] b, a.x[7:9] c, a.x[10:12] d from e a),
+v as (select id, [b[1]-a[1], b[2]-a[2], b[3]-a[3]] u, [c[1]-b[1], c[2]-b[2], c[3]-b[3]] v, [d[1]-c[1], d[2]-c[2], d[3]-c[3]] w from q),
+n as (select id, v, list_cross_product(u::double[3], v::double[3]) n, list_cross_product(v::double[3], w::double[3]) m from v)
+select id, round(atan2(list_dot_product(list_cross_product(n, m), v) / sqrt(list_dot_product(v, v)), list_dot_product(n, m)), 6)::double angle from n""".replace("list_cross_product", "array_cross_product").replace("list_dot_product(array_cross_product(n, m), v)", "list_dot_product(array_cross_product(n, m)::double[], v)").replace("list_dot_product(n, m)", "list_dot_product(n::double[], m::double[])"))
+def torsion_angles(spark, sf_dir):
+    part = lambda k: F.slice("x", k, 3)
+    return points(spark, sf_dir).select("id", r6(geometry.torsion(part(1), part(4), part(7), part(10)), "angle"))
+
+
 # --- streams
 
 

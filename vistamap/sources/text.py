@@ -136,3 +136,25 @@ def write_lines(rows: DataFrame, path: str, order: str = "id", header: list[str]
         rows.repartitionByRange(order).sortWithinPartitions(order).select("value").write.text(f"{path}/1-rows")
     else:
         rows.repartitionByRange(order).sortWithinPartitions(order).select("value").write.text(path)
+
+
+def read_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """frame 0, atom, name, residue, chain, number, x of the ATOM and HETATM lines of a fixed-width structure file."""
+    v = F.col("value")
+    part = lambda a, b: F.trim(F.substring(v, a, b - a + 1))
+    rows = lines(spark, path).where(v.rlike("^(ATOM|HETATM)"))
+    x = F.array(*(part(a, a + 7).cast("double") for a in (31, 39, 47)))
+    return rows.select(F.lit(0).cast("long").alias("frame"), part(7, 11).cast("long").alias("atom"), part(13, 16).alias("name"), part(18, 20).alias("residue"), part(22, 22).alias("chain"), part(23, 26).cast("int").alias("number"), x.alias("x"))
+
+
+def rescaled(rows: DataFrame, factors: dict[str, float], dropped: list[str]) -> DataFrame:
+    """Lines of an input file (value) without those that begin with a dropped keyword, and with numbers after `KEY=` or `KEY ` multiplied."""
+    rows = rows.where(~F.upper(F.regexp_extract(F.ltrim("value"), r"^([^\s]+)", 1)).isin([d.upper() for d in dropped]))
+
+    def scaled(lines):
+        for key, factor in factors.items():
+            pattern = re.compile(rf"\b({re.escape(key)}(?:=|\s+))([+-]?[\d.]+(?:[eE][+-]?\d+)?(?:,[+-]?[\d.]+(?:[eE][+-]?\d+)?)*)")
+            lines = lines.str.replace(pattern, lambda m, f=factor: m[1] + ",".join(repr(float(x) * f) for x in m[2].split(",")), regex=True)
+        return lines
+
+    return rows.withColumn("value", F.pandas_udf(scaled, "string")("value"))
