@@ -8,10 +8,9 @@ shard, so a frequent word costs every task one entry. Shards merge blocks:
 
 1. words: hash -> count. A shard holds a range of hashes; its file is sorted, so the shards in a row are one sorted array,
    and a word's place in it is its id.
-2. bigrams (history id, word id) -> count, sharded by history. Their sorted arrays, with the history's total and numbers of
-   distinct words seen once, twice and more often, are the bigram level. A shard holds at least the distinct
-   successors of one word, never its occurrences.
-3. continuation counts of each word (distinct histories), from the distinct bigrams, sharded by word.
+2. bigrams (history id, word id) -> count, sharded by a hash of both, so that the many successors of a frequent word are spread.
+3. histories: total and numbers of distinct words seen once, twice and more often, and continuations: the number of distinct
+   histories of each word. Every bigram shard sums its own first; shards are ranges of ids.
 
 The files lie in the shared folder; workers map them, look up the distinct n-grams of a block of texts at a time, and so
 hold no more of the model than the pages they touch. Files are written under another name and then renamed, so a task
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import chunks, posix, work_dir
-from ._text import words
+from ._text import mix, words
 
 #: Bytes of packed n-grams that a shard is meant to hold.
 SHARD_BYTES = 24 << 20
@@ -74,23 +73,25 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Sorted keys as differences, bytes of one significance together, and 32-bit columns likewise: the shuffle's compression
-    shrinks what differs little."""
+    """Sorted keys as differences, bytes of one significance together, and counts likewise: the shuffle's compression shrinks what
+    differs little."""
     parts = [np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel()]
-    parts += [c.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel() for c in columns]
+    parts += [c.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel() for c in columns]
     return np.concatenate(parts).tobytes()
 
 
 def unpack(block: bytes, columns: int) -> list[np.ndarray]:
     raw = np.frombuffer(block, np.uint8)
-    n = len(raw) // (8 + 4 * columns)
-    keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
-    return [keys, *(np.ascontiguousarray(raw[(8 + 4 * i) * n : (12 + 4 * i) * n].reshape(4, n).T).view("<u4").ravel().astype(np.int64) for i in range(columns))]
+    n = len(raw) // (8 + 8 * columns)
+    got = [np.ascontiguousarray(raw[8 * i * n : 8 * (i + 1) * n].reshape(8, n).T).view("<u8").ravel() for i in range(columns + 1)]
+    return [np.cumsum(got[0], dtype=np.uint64), *(c.astype(np.int64) for c in got[1:])]
 
 
 def sharded(keys: np.ndarray, shard_of: Callable, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """A block for each shard; `shard_of` grows with the sorted keys."""
+    """A block for each shard, of sorted keys."""
     shard = shard_of(keys)
+    order = np.argsort(shard, kind="stable")
+    keys, shard, columns = keys[order], shard[order], [c[order] for c in columns]
     cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else []
     for a, b in zip(cut, [*cut[1:], len(keys)]):
         yield int(shard[a]), pack(keys[a:b], *(c[a:b] for c in columns))
@@ -149,6 +150,12 @@ class Arrays:
 
     def find(self, keys: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """For sorted distinct keys, with their shards: places within all shards in a row (-1: absent) and each column's values (0: absent)."""
+        order = np.argsort(shard, kind="stable")
+        if (np.diff(shard) < 0).any():
+            place, values = self.find(keys[order], shard[order])
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            return place[back], [v[back] for v in values]
         place, values = np.full(len(keys), -1, np.int64), [np.zeros(len(keys), np.int64) for _ in self.names[1:]]
         cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else []
         for a, b in zip(cut, [*cut[1:], len(keys)]):
@@ -191,6 +198,9 @@ class Model:
         """Ids 0 (the start mark) to V (words by hash) to shards, evenly."""
         return ids.astype(np.int64) * self.about["shards"] // (self.about["types"] + 2)
 
+    def by_pair(self, keys: np.ndarray) -> np.ndarray:
+        return by_hash(self.about["shards"])(mix(keys))
+
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (from 1; 0: unknown) and counts of hashes."""
         distinct, back = np.unique(hashes, return_inverse=True)
@@ -214,8 +224,9 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
 
 
-def gathered(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.groupBy("shard").applyInArrow(function, schema)
+def gathered(df: DataFrame, function: Callable, schema: str, shards: int) -> DataFrame:
+    """function(key, table) of each shard's blocks; as many tasks as shards."""
+    return df.repartition(shards, "shard").groupBy("shard").applyInArrow(function, schema)
 
 
 def train(docs: DataFrame, shards: int | None = None) -> Model:
@@ -250,12 +261,12 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
         files("words", key[0].as_py(), key=keys, count=counts)
         return about_shard(key[0].as_py(), counts)
 
-    sizes = {r["shard"]: r for r in gathered(docs.mapInArrow(count_words, BLOCKS), merge_words, made).collect()}
+    sizes = {r["shard"]: r for r in gathered(docs.mapInArrow(count_words, BLOCKS), merge_words, made, shards).collect()}
     starts = np.concatenate([[0], np.cumsum([sizes[i]["n"] if i in sizes else 0 for i in range(shards)])]).tolist()
     model = Model(root, {"shards": shards, "types": int(starts[-1]), "train_tokens": sum(r["total"] for r in sizes.values()), "starts": {"words": starts}})
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending = Pending(lambda keys: model.by_id(keys >> np.uint64(32)))
+        pending = Pending(model.by_pair)
         for batch in batches:
             for part in chunks(batch, "text", BLOCK):
                 doc, h = tokens(part.column(0))
@@ -270,28 +281,42 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
     def merge_bigrams(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         keys, counts = merge(table, 1)
-        history = keys >> np.uint64(32)
-        first = np.flatnonzero(np.r_[True, history[1:] != history[:-1]])
-        by = {"total": counts, "one": counts == 1, "two": counts == 2, "more": counts > 2}
         files("bigrams", shard, key=keys, count=counts)
-        files("histories", shard, key=history[first], **{k: np.add.reduceat(v.astype(np.int64), first) for k, v in by.items()})
         return about_shard(shard, counts)
 
-    two = gathered(docs.mapInArrow(count_bigrams, BLOCKS), merge_bigrams, made).collect()
+    two = gathered(docs.mapInArrow(count_bigrams, BLOCKS), merge_bigrams, made, shards).collect()
 
-    def count_histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                keys, _ = model.level("bigrams").shard(shard)
-                word, count = np.unique(np.asarray(keys) & np.uint64(0xFFFFFFFF), return_counts=True)
-                yield from rows_of(sharded(word, model.by_id, count))
+    def each_shard(function: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard in batch.column(0).to_pylist():
+                    yield from rows_of(function(*map(np.asarray, model.level("bigrams").shard(shard))))
+
+        return run
+
+    def sum_histories(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        history = keys >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, history[1:] != history[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        by = [np.add.reduceat(v.astype(np.int64), first) if len(first) else first for v in (counts, counts == 1, counts == 2, counts > 2)]
+        return sharded(history[first], model.by_id, *by)
+
+    def sum_continuations(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        word, count = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
+        return sharded(word, model.by_id, count)
+
+    def merge_histories(key: tuple, table: pa.Table) -> pa.Table:
+        keys, sums = merge(table, 4)
+        files("histories", key[0].as_py(), key=keys, total=sums[:, 0], one=sums[:, 1], two=sums[:, 2], more=sums[:, 3])
+        return about_shard(key[0].as_py(), sums[:, 0])
 
     def merge_continuations(key: tuple, table: pa.Table) -> pa.Table:
         keys, counts = merge(table, 1)
         files("continuations", key[0].as_py(), key=keys, count=counts)
         return about_shard(key[0].as_py(), counts)
 
-    one = gathered(spark.range(0, shards, 1, min(shards, 4096)).select(F.col("id").cast("int")).mapInArrow(count_histories, BLOCKS), merge_continuations, made).collect()
+    each = spark.range(0, shards, 1, min(shards, 4096)).select(F.col("id").cast("int"))
+    gathered(each.mapInArrow(each_shard(sum_histories), BLOCKS), merge_histories, made, shards).collect()
+    one = gathered(each.mapInArrow(each_shard(sum_continuations), BLOCKS), merge_continuations, made, shards).collect()
     model.about |= {
         "discounts": [discounts([sum(r[f"n{k}"] for r in rows) for k in (1, 2, 3, 4)]) for rows in (one, two)],
         "bigram_types": sum(r["n"] for r in two),
@@ -315,7 +340,7 @@ def log_probabilities(model: Model, doc: np.ndarray, hashes: np.ndarray) -> tupl
     low = ((continued - d[np.minimum(continued, 3)]) / n + left / (types + 1))[back]
     history = pairs(ids, doc)
     keys, at = np.unique((history.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), return_inverse=True)
-    _, (seen,) = model.level("bigrams").find(keys, model.by_id(keys >> np.uint64(32)))
+    _, (seen,) = model.level("bigrams").find(keys, model.by_pair(keys))
     before, of = np.unique(history, return_inverse=True)
     _, (total, one, two, more) = model.level("histories").find(before.astype(np.uint64), model.by_id(before))
     first = np.zeros(len(history), bool)
