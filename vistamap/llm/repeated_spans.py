@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._anchors import anchors
 from ._shared import chunks, posix, work_dir
 from ._text import U, mix, powers, prefix, raw, spans
-from .ngram_lm import BLOCKS, Arrays, Pending, by_hash, merge, rows_of, write_array
+from .ngram_lm import BLOCKS, Arrays, Pending, by_hash, gathered, merge, write_array
 
 SHARD_BYTES = 8 << 20
 #: Bytes of contexts that a map task gathers before it sends them on, and that a shard sorts at a time (whole anchors).
@@ -365,7 +365,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         write_array(f"{root}/anchors/{key[0].as_py()}.key.npy", keys[counts > 1])
         return pa.table([pa.array([int((counts > 1).sum())], pa.int64())], ["n"])
 
-    docs.mapInArrow(count_anchors, BLOCKS).groupBy("shard").applyInArrow(merge_anchors, "n long").agg(F.sum("n")).collect()
+    gathered(docs.mapInArrow(count_anchors, BLOCKS), merge_anchors, "n long", shards).agg(F.sum("n")).collect()
 
     def contexts(part: pa.RecordBatch) -> pa.Table:
         data, at = raw(part.column(1))
@@ -421,8 +421,8 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         return pa.table([pa.array([len(got[0])], pa.int64())], ["n"])
 
     block = "shard int, kind string, block binary"
-    runs = docs.mapInArrow(send, block).groupBy("shard").applyInArrow(sort_shard, block)
-    runs.groupBy("shard").applyInArrow(merge_runs, "n long").agg(F.sum("n")).collect()
+    runs = gathered(docs.mapInArrow(send, block), sort_shard, block, shards)
+    gathered(runs, merge_runs, "n long", shards).agg(F.sum("n")).collect()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
