@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._memo import Memo, version
-from ._shared import chunks
+from ._shared import chunks, saved, work_dir
 
 CACHE = "digest string, tokens long"
 
@@ -56,8 +56,10 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, kind: str = "bytes
     if known is not None:
         misses = misses.join(known, "digest", "left_anti")
     misses.mapInArrow(encoder(tokenizer, kind), CACHE).write.mode("append").parquet(cache)
+    # a plain table on this side lets the rows of a frequent text be split over tasks
+    counts = saved(cached(spark, cache), work_dir(spark, "counts"))
     return (
         keyed.select("doc_id", "digest", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-        .join(cached(spark, cache), "digest", "left")
+        .join(counts, "digest", "left")
         .select("doc_id", "n_bytes", F.col("tokens").alias("n_tokens"), (F.col("tokens") > limit).alias("over_limit"))
     )
