@@ -40,6 +40,8 @@ VALID, TEXT = 0.5, 0.9
 MOST = 0.7
 #: Bytes of all hosts' templates up to which they are broadcast.
 BROADCAST_BYTES = 8 << 20
+#: Hosts up to which their numbers of pages are broadcast.
+BROADCAST_HOSTS = 100_000
 
 # HTML elements by role, and words in class, id and role attributes that name something other than the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -250,7 +252,9 @@ def main_text(pages: DataFrame) -> DataFrame:
         work_dir(spark, "tokens"),
     )
     totals = summed.where(F.col("token") == 0).select("host", F.col("pages").alias("total"))
-    # a host keeps tokens on half of its pages: twice what an average page has, at most
+    # a host keeps tokens on half of its pages: twice what an average page has, at most; the rest goes before the shuffle by host
+    if totals.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        totals = F.broadcast(totals)
     frequent = summed.join(totals, "host").where(F.col("pages") >= VALID * F.col("total")).drop("total")
     templates = saved(frequent.groupBy("host").applyInArrow(template, "host string, texts array<long>, main string"), work_dir(spark, "templates"))
     size = templates.agg(F.sum(F.length("host") + 8 * F.size("texts") + F.coalesce(F.length("main"), F.lit(0)) + 64)).first()[0] or 0
