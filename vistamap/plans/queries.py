@@ -323,13 +323,15 @@ def path_project(spark, sf_dir):
     return projection.path_project(p, marks, 0.3).select("id", r6(F.col("y")[0], "y1"), r6(F.col("y")[1], "y2"))
 
 
-_GRID = _STRIDE + f""", k as (select l.id, e.x, e.y1, e.y2, e.w from l join e using (id)), g as (select -0.5 + 0.1 * range v from range(11)), o as (select x from e where id = 7),
+_GRID = _STRIDE + f""", k as (select l.id, e.x, e.y1, e.y2, e.w from l join e using (id)), g as (select -0.5 + 0.1 * range v from range(11)), o as (select list(m order by k) x from (select k, avg(v) m from (select unnest(x) v, generate_subscripts(x, 1) k from e) group by k)),
 s as (select gx.v gx, gy.v gy, k.w, list_distance(k.x, o.x) hd, sqrt((k.y1 - gx.v) ** 2 + (k.y2 - gy.v) ** 2) ld from k, g gx, g gy, o), t as (select gx, gy, sum(w * ({FH} - {FL}) ** 2) / sum(w) stress from s group by gx, gy)"""
 
 
 def _grid(spark, sf_dir) -> DataFrame:
+    """The surface of the mean of all points."""
     p, marks = _marks(spark, sf_dir)
-    one = F.broadcast(p.where("id = 7").select(F.col("x").alias("o")))
+    mean = p.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"))
+    one = F.broadcast(mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda t: t["m"]).alias("o")))
     d = marks.crossJoin(one).select("id", Metric().column(F.col("x"), F.col("o")).alias("d"))
     return stress.grid_stress(marks, d, [-0.5 + 0.1 * k for k in range(11)], TERMS)
 
