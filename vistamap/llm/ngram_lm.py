@@ -225,8 +225,8 @@ def discounts(n: list[int]) -> list[float]:
 
 
 def gathered(df: DataFrame, function: Callable, schema: str, shards: int) -> DataFrame:
-    """function(key, table) of each shard's blocks; as many tasks as shards."""
-    return df.repartition(shards, "shard").groupBy("shard").applyInArrow(function, schema)
+    """function(key, table) of each shard's blocks; every shard is a task of its own."""
+    return df.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(function, schema)
 
 
 def train(docs: DataFrame, shards: int | None = None) -> Model:
