@@ -35,8 +35,8 @@ from ._shared import chunks, posix, work_dir
 from ._text import mix, words
 
 #: Bytes of packed n-grams that a shard is meant to hold.
-SHARD_BYTES = 24 << 20
-BLOCK = 4 << 20
+SHARD_BYTES = 12 << 20
+BLOCK = 1 << 20
 #: The hash that stands for the end of a text; words that hash to it or to 0 are moved to the next value.
 END = np.uint64(1)
 BLOCKS = "shard int, block binary"
@@ -105,7 +105,7 @@ def rows_of(blocks: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
 class Pending:
     """Keys and counts of a map task, summed whenever `most` have come together, sent on when as many distinct ones have."""
 
-    def __init__(self, shard_of: Callable, most: int = 3_000_000):
+    def __init__(self, shard_of: Callable, most: int = 1_500_000):
         self.shard_of, self.most, self.parts, self.n = shard_of, most, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
