@@ -37,6 +37,8 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
 TILE = 1024
+#: Texts of a tile that are cut into shingles at a time.
+SLICE = 64
 SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, signature binary"
 _seeds = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, (2, HASHES), dtype=np.uint32)
 _FLIP, _TIMES = _seeds[0], _seeds[1] | np.uint32(1)
@@ -142,7 +144,9 @@ def tiled(least: dict[int, int], n: int, percent: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         cid, signature = table["cid"].to_numpy(), unpacked(table["signature"])
-        doc, h = distinct_grams(table["text"].combine_chunks(), n)
+        texts = table["text"].combine_chunks()
+        parts = [distinct_grams(texts.slice(at, SLICE), n) for at in range(0, len(texts), SLICE)]
+        doc, h = np.concatenate([d + SLICE * k for k, (d, _) in enumerate(parts)]), np.concatenate([x for _, x in parts])
         cut = np.searchsorted(doc, np.arange(len(cid) + 1))
         size = np.diff(cut)
         names, comp = np.unique(table["comp"].to_numpy(), return_inverse=True)
