@@ -39,6 +39,8 @@ MISS = 1e-6
 TILE = 1024
 #: Texts of a tile that are cut into shingles at a time.
 SLICE = 64
+#: Ids that are broadcast at most, 8 bytes each.
+BROADCAST_IDS = 200_000
 SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, signature binary"
 _seeds = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, (2, HASHES), dtype=np.uint32)
 _FLIP, _TIMES = _seeds[0], _seeds[1] | np.uint32(1)
@@ -219,11 +221,16 @@ class Linker:
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds the links among pairs (a, b)."""
-        t = self.texts
+        t = self.involved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
         rows = pairs.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         found = saved(rows.select("a", "b", "text_a", "text_b").mapInArrow(verifier(self.shingle, self.percent), "a long, b long"), work_dir(self.spark, "links"))
         self.links = found if self.links is None else self.links.union(found)
 
+    def involved(self, ids: DataFrame) -> DataFrame:
+        """Texts of some classes. Up to BROADCAST_IDS of them are picked before any text is shuffled."""
+        ids = ids.distinct()
+        return self.texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else self.texts
+
     def labels(self) -> DataFrame:
         """node, component of every class that has a link."""
         return saved(components(self.links), work_dir(self.spark, "labels"))
@@ -257,7 +264,7 @@ class Linker:
         rows = self.tiles(members, labels)
         if rows.isEmpty():
             return labels
-        texts = self.texts.select(F.col("doc_id").alias("cid"), "text")
+        texts = self.involved(rows.select(F.col("cid").alias("doc_id"))).select(F.col("doc_id").alias("cid"), "text")
         full = rows.join(self.classes.select("cid", "signature"), "cid").join(texts, "cid").select(*rows.columns, "signature", "text")
         found = saved(full.groupBy("bucket", "i", "j").applyInArrow(tiled(self.least, self.shingle, self.percent), "a long, b long"), work_dir(self.spark, "tiled"))
         if found.isEmpty():
