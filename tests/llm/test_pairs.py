@@ -140,6 +140,30 @@ def test_decontamination_without_a_filter(spark, monkeypatch):
     assert {r.doc_id for r in decontamination.decontaminate(docs, bench).where("contaminated").collect()} >= {1, 2, 4, 6, 7, 9, None}
 
 
+def test_decontamination_of_items_with_few_words(spark, monkeypatch):
+    bench = [
+        (1, "What is the sum of 12, 7, 9, 4, 3?"),
+        (2, "What is 17 times 23?"),
+        (3, "Sort: 5 19 33 4 81 62 7 90 18 26 44 3 71 6 58."),
+        (4, "In the race Anna, Peter, Karl, Berta, Emil and Otto came home in 12, 7, 9, 4, 3 and 2 minutes."),
+    ]
+    cases = [
+        *((i, f"Exercise. {t} Solve it.", [i]) for i, t in bench),
+        (5, "Next: what is the sum of 51, 8, 6, 14, 2? Solve it.", [1]),
+        (6, "What is the sum of 51, 8, 6 and more?", []),
+        (7, "What is 18 times 23? Sort: 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", []),
+        (8, "In the race Ida, Max, Paul, Nora, Hans and Kurt came home in 21, 8, 6, 5, 1 and 17 minutes.", [4]),
+        (9, "1 2 3 4 5 6 7 8 " * 50, []),
+        (None, "what is the sum of 51, 8, 6, 14, 2?", [1]),
+    ]
+    for filtered in (True, False):
+        if not filtered:
+            monkeypatch.setattr(decontamination, "FILTER", 0)
+        docs = spark.createDataFrame([(d, t) for d, t, _ in cases], "doc_id long, text string")
+        got = decontamination.decontaminate(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+        assert {r.doc_id: r.items for r in got} == {d: e for d, _, e in cases}
+
+
 def page(k, article, host="a.example", brand="Daily News"):
     html = f"""<!DOCTYPE html><html><head><title>{brand} {k}</title><style>p{{}}</style><script>if (a < b) document.write("<p>no</p>")</script></head><body>
     <header class="top"><a href="/">{brand}</a></header><ul class="menu"><li><a href="/1">World<li><a href="/2">Sport</ul><div id="cookie-notice">We use cookies</div>

@@ -7,8 +7,13 @@ placeholders and once with names as words, so that an item in other letter case
 one value of the document, and different names for different names. That finds questions whose numbers, names or units were
 changed, and lets texts of like shape alone. Windows whose values are those of the item count in any case.
 
+Windows of more placeholders than words, or of fewer than LEAST words, are too common to be told by their template. They are
+joined with their values as they are, so that a verbatim copy has all windows of its item, and by template only where another
+window of the same item matches at the same distance and all values of both are consistent.
+
 A document is contaminated by an item if consistent windows cover COVERED of the item's tokens, or all of a shorter item.
-Items of fewer than LEAST tokens can't be told from ordinary phrases and are not searched.
+Items of fewer than LEAST tokens can't be told from ordinary phrases and are not searched. An item all of whose windows are
+poor in words is found with its own values only.
 
 Letter case is folded for A-Z and U+00C0 to U+00DE.
 
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import chunks, saved, work_dir
@@ -49,7 +54,9 @@ _DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\n"]] = True
 _PLACEHOLDER = {"number": U(11), "unit": U(12), "name": U(13)}
-WINDOWS = "doc long, of long, pos int, mode int, size int, hash long, template string, slots array<string>, tokens int"
+WINDOWS = "doc long, of long, pos int, mode int, size int, hash long, template string, slots array<string>, tokens int, own boolean"
+#: Modes of windows: names as words, names as placeholders, all as it is.
+PLAIN, NAMES, LITERAL = 0, 1, 2
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -111,40 +118,43 @@ class Canonical:
     def text(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
-    def windows(self, size: int, mode: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens and hashes of windows with as many words as placeholders at least, and LEAST words or `size` if less.
-        Mode 1 has names as placeholders."""
-        kind = np.where((self.kind == 3) & (mode == 0), 0, self.kind)
-        h = np.where(kind == 0, self.hash, kind.astype(np.uint64) + U(10))
-        n = len(h) - size + 1
+    def windows(self, size: int, mode: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First tokens and hashes of windows, and whether each is told by itself: those with as many words as placeholders at
+        least, and LEAST words or `size` if less. LITERAL has the windows that are not, as PLAIN ones, with their values."""
+        kind = np.where((self.kind == 3) & (mode != NAMES), 0, self.kind)
+        n = len(kind) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         k = np.flatnonzero(self.row[:n] == self.row[size - 1 :])
         words = np.concatenate([[0], np.cumsum(kind == 0)])
         count = words[k + size] - words[k]
-        k = k[(count * 2 >= size) & (count >= min(LEAST, size))]
-        out = np.full(len(k), size * 2 + mode, np.uint64)
-        for i in range(size):
-            out = mix(out * U(0x9E3779B97F4A7C15) + h[k + i])
-        if mode:  # without a name it is what mode 0 has
+        own = (count * 2 >= size) & (count >= min(LEAST, size))
+        if mode == LITERAL:
+            k, own = k[~own], np.ones(int((~own).sum()), bool)
+        if mode == NAMES:  # without a name it is what PLAIN has
             names = np.concatenate([[0], np.cumsum(kind == 3)])
             named = names[k + size] > names[k]
-            k, out = k[named], out[named]
-        return k, out
+            k, own = k[named], own[named]
+        h = self.hash if mode == LITERAL else np.where(kind == 0, self.hash, kind.astype(np.uint64) + U(10))
+        out = np.full(len(k), size * 4 + mode, np.uint64)
+        for i in range(size):
+            out = mix(out * U(0x9E3779B97F4A7C15) + h[k + i])
+        return k, out, own
 
     def described(self, k: int, size: int, mode: int) -> tuple[str, list[str]]:
         shown, slots = [], []
         for i in range(k, k + size):
-            kind = 0 if self.kind[i] == 3 and not mode else int(self.kind[i])
+            kind = 0 if mode == LITERAL or self.kind[i] == 3 and mode == PLAIN else int(self.kind[i])
             shown.append(("", "<number>", "<unit>", "<name>")[kind] or self.text(i))
             if kind:
                 slots.append("wnum"[kind] + ":" + self.text(i))
         return " ".join(shown), slots
 
 
-def windowed(sizes: list[int] | None, known):
+def windowed(sizes: list[int] | None, known, reach: int = 0):
     """Window rows of (doc, of, text). `sizes` None: a benchmark, each item with its own size, WINDOW at most.
-    `known`: broadcast of the sorted hashes to keep, or None."""
+    `known`: broadcast of the sorted hashes to keep, or None. `reach`: tokens of the longest item; of a document, windows that
+    are not told by themselves are left out where no other window is as near as that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if known is None else known.value
@@ -155,20 +165,27 @@ def windowed(sizes: list[int] | None, known):
                 rows: list[tuple] = []
                 doc, of = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for size in sizes if sizes is not None else sorted({min(WINDOW, int(t)) for t in tokens if t >= LEAST}):
-                    for mode in (0, 1):
-                        k, h = c.windows(size, mode)
+                    found = {}
+                    for mode in (PLAIN, NAMES, LITERAL):
+                        k, h, own = c.windows(size, mode)
                         if sizes is None:
                             on = np.minimum(tokens[c.row[k]], WINDOW) == size
-                            k, h = k[on], h[on]
+                            k, h, own = k[on], h[on], own[on]
                         if keep is not None:
                             on = _among(h, keep)
-                            k, h = k[on], h[on]
-                        for i, x in zip(k.tolist(), h.view(np.int64).tolist()):
+                            k, h, own = k[on], h[on], own[on]
+                        found[mode] = k, h, own
+                    told = np.sort(np.concatenate([found[m][0][found[m][2]] for m in (PLAIN, NAMES)]))
+                    for mode, (k, h, own) in found.items():
+                        if sizes is not None:
+                            on = own | (np.searchsorted(told, k + reach, "right") > np.searchsorted(told, k - reach))
+                            k, h, own = k[on], h[on], own[on]
+                        for i, x, o in zip(k.tolist(), h.view(np.int64).tolist(), own.tolist()):
                             r = int(c.row[i])
-                            rows.append((doc[r], of[r], i - int(c.first[r]), mode, size, x, *c.described(i, size, mode), int(tokens[r])))
+                            rows.append((doc[r], of[r], i - int(c.first[r]), mode, size, x, *c.described(i, size, mode), int(tokens[r]), o))
                 if rows:
-                    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], ["doc", "of", "pos", "mode", "size", "hash", "template", "slots", "tokens"])
+                    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], ["doc", "of", "pos", "mode", "size", "hash", "template", "slots", "tokens", "own"])
 
     return run
 
@@ -181,19 +198,36 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str =
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     small = items.select("hash").distinct().limit(FILTER + 1).count() <= FILTER
     known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64))) if small else None
-    seen = of(docs, key).mapInArrow(windowed(sizes, known), WINDOWS)
-    there = items.select(F.col("doc").alias("item"), F.col("pos").alias("at"), "mode", "size", "hash", "template", F.col("slots").alias("values"), F.col("tokens").alias("length"))
-    met = saved(seen.drop("tokens").join(there, ["hash", "mode", "size", "template"]), work_dir(spark, "matches"))
-    run = ["doc", "of", "item", "mode", (F.col("pos") - F.col("at")).alias("shift")]
-    pairs = F.zip_with("values", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    met = met.select("*", pairs.alias("pairs"), run[-1]).withColumns({"key": F.coalesce("doc", F.lit(0))})
-    whole = met.groupBy("doc", "of", "item", "mode", "shift").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("all"))
-    names = F.filter("all", lambda p: p["a"].startswith("m:"))
-    whole = whole.withColumn("fits", (F.size(F.array_distinct("all.a")) == F.size("all")) & (F.size(F.array_distinct(F.transform(names, lambda p: p["b"]))) == F.size(names)))
+    reach = items.agg(F.max("tokens")).first()[0] or 0
+    seen = of(docs, key).mapInArrow(windowed(sizes, known, reach), WINDOWS).drop("tokens")
+    seen = saved(seen, work_dir(spark, "windows")) if small else seen
+    there = items.select(F.col("doc").alias("item"), F.col("pos").alias("at"), "mode", "size", "hash", "template", F.col("slots").alias("values"), F.col("tokens").alias("length"), "own")
+    shift = (F.col("pos") - F.col("at")).alias("shift")
+    columns = ["doc", "of", "item", "length", "size", "mode", "at", shift, "own", "slots", "values"]
+    told = saved(seen.where("own").drop("own").join(there.where("own"), ["hash", "mode", "size", "template"]).select(*columns), work_dir(spark, "matches"))
+    # where a window matches, those of its item that are not told by themselves are looked for at the same distance;
+    # both sides grow with docs and are not broadcast
+    places = told.where(F.col("mode") != LITERAL).select(F.col("doc").alias("d"), F.col("of").alias("o"), "item", "shift").distinct()
+    awaited = places.join(there.where(~F.col("own")), "item").withColumnsRenamed({"mode": "m", "size": "z", "hash": "h", "template": "t"})
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("of") == F.col("o")) & (F.col("pos") == F.col("at") + F.col("shift"))
+    same = same & (F.col("mode") == F.col("m")) & (F.col("size") == F.col("z")) & (F.col("hash") == F.col("h")) & (F.col("template") == F.col("t"))
+    led = seen.where(~F.col("own")).drop("own").join(awaited.hint("merge"), same).select(*(c if isinstance(c, str) else "shift" for c in columns))
+    met = saved(told.unionByName(led), work_dir(spark, "runs")).withColumn("pairs", F.zip_with("values", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    gathered = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    whole = met.groupBy("doc", "of", "item", "mode", "shift").agg(gathered(F.when(F.col("own"), F.col("pairs"))).alias("told"), gathered("pairs").alias("all"))
+
+    def fits(c: str) -> Column:
+        names = F.filter(c, lambda p: p["a"].startswith("m:"))
+        return (F.size(F.array_distinct(F.col(c)["a"])) == F.size(c)) & (F.size(F.array_distinct(F.transform(names, lambda p: p["b"]))) == F.size(names))
+
     # names of the joined columns are those of `whole`; a null doc is a value like others
-    same = whole.select(F.col("doc").alias("d"), F.col("of").alias("o"), F.col("item").alias("t"), F.col("mode").alias("m"), F.col("shift").alias("s"), "fits")
+    same = whole.select(F.col("doc").alias("d"), F.col("of").alias("o"), F.col("item").alias("t"), F.col("mode").alias("m"), F.col("shift").alias("s"), fits("told").alias("fits"), fits("all").alias("all_fit"))
     on = F.col("doc").eqNullSafe(F.col("d")) & (F.col("of") == F.col("o")) & (F.col("item") == F.col("t")) & (F.col("mode") == F.col("m")) & (F.col("shift") == F.col("s"))
-    good = met.join(same, on).where(F.col("fits") | (F.col("slots") == F.col("values")))
+    good = met.join(same.hint("merge"), on).where(F.when(F.col("own"), F.col("fits") | (F.col("slots") == F.col("values"))).otherwise(F.col("all_fit")))
+    run = good.groupBy("doc", "of", "item", "length", "size", "shift").agg(
+        F.max(F.col("own") & (F.col("mode") != LITERAL)).alias("leads"), F.collect_set("at").alias("every"), F.collect_set(F.when(F.col("own"), F.col("at"))).alias("alone")
+    )
+    good = run.select("doc", "of", "item", "length", "size", F.explode(F.when(F.col("leads"), F.col("every")).otherwise(F.col("alone"))).alias("at"))
     need = F.greatest(F.lit(1), F.least(F.lit(COVERED), F.col("length")) - F.col("size") + 1)
     each = good.groupBy("doc", "of", "item", "length", "size").agg(F.count_distinct("at").alias("n")).where(F.col("n") >= need)
     return each.groupBy("doc", "of").agg(F.array_sort(F.collect_set("item")).alias("items"), F.sum("n").alias("n_windows"))
