@@ -191,6 +191,35 @@ def test_main_text(spark):
     assert html_extraction.main_text(frame.limit(0)).count() == 0
 
 
+def test_main_text_of_hosts_with_several_layouts(spark):
+    """Layouts on 60 and 40 % of the pages, a third on few; a box on 70 % of a host's pages; a text twice on each page."""
+
+    def several(k):
+        body = f"<p>{prose(k, 40)}</p>"
+        if k >= 20:
+            body = f'<div class="c"><div class="cin">{body}<p>third note</p></div><div class="cside"><p>Third box</p><p>{k}</p></div></div>'
+        elif k % 5 < 3:
+            body = f'<div class="a"><div class="ain">{body * 3}<p>Read on in the paper</p></div><div class="aside1"><p>First box</p><p>{k}</p></div></div>'
+        else:
+            body = f'<div class="b"><p>Printed in the evening</p><div class="bin">{body}<span>Our desk</span></div><div class="bside"><p>{k}</p></div></div>'
+        return (k, f"https://several.example/{k}", f"<html><body>{body}</body></html>")
+
+    def boxed(k):
+        box = '<div class="box"><p>Win a prize</p></div><p>Write to us</p>' if k % 10 < 7 else ""
+        return (100 + k, f"https://boxed.example/{k}", f'<html><body><div class="x"><p>Part of it</p><p>{prose(k, 30)}</p>{box}<p>Part of it</p></div></body></html>')
+
+    def copied(k):  # the same article on three of many pages is no template
+        return (200 + k, f"https://copied.example/{k}", f'<html><body><div class="x"><h1>T {k}</h1><p>{prose(0 if k < 3 else k, 30)}</p><p>{prose(500 + k, 30)}</p></div></body></html>')
+
+    rows = [*map(several, range(26)), *map(boxed, range(20)), *map(copied, range(20))]
+    text = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(26):
+        assert text[k] == "\n".join([prose(k, 40)] * (3 if k < 20 and k % 5 < 3 else 1)), k
+    for k in range(20):
+        assert text[100 + k] == prose(k, 30)
+        assert text[200 + k] == f"T {k}\n{prose(0 if k < 3 else k, 30)}\n{prose(500 + k, 30)}"
+
+
 def test_nearest(spark):
     r = np.random.Generator(np.random.PCG64(5))
     vectors = [r.standard_normal(24).tolist() for _ in range(900)]

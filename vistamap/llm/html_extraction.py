@@ -4,10 +4,13 @@
    told apart by path and words. Tokens with the same occurrence vector over the pages of a host (how often each occurs on
    each page) form an equivalence class. Vectors are never gathered: a class is recognised by how many pages it is on and two
    sums of hashes of (page, count), which merge by aggregation; map tasks sum before the shuffle.
-2. Per host, classes on a sufficient share of the pages are valid if they have two tokens or more. Tags that occur once on a page
-   are containers; classes are nested by the paths of their tags. What lies between the template's tokens are its slots.
-3. The main container is an <article> or <main> of the template, or else the innermost container that holds most of the slots' text
-   which isn't in links or in parts that are named as something else. Its slots, read from the pages once more,
+2. Per host, classes on at least `support` pages are valid if they have two tokens or more, so each layout of a host has its own.
+   Tags that occur once on a page are containers; classes are nested by the paths of their tags. A text is the template's if it
+   is, any number of times, on a sufficient share of the pages that have the innermost container around it. What lies between
+   the template's tokens are its slots.
+3. The main container of a page is, of the containers that it has, an <article> or <main>, or else the innermost that holds
+   most of the slots' text which isn't in links or in parts that are named as something else; as a share of all such text of
+   the pages with the container, so that layouts of short and of long pages compare. Its slots, read from the pages once more,
    are the text; blocks that hold nothing but text of the template, and slots in menus, adverts, comments and the like, are
    left out.
 
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 from ._shared import saved, work_dir
 
 PAGES = 4
-#: Shares of a host's pages that a valid class is on, and that a template text is on.
-VALID, TEXT = 0.5, 0.9
+#: Pages that a valid class is on: this share of the host's, but FEW at most and PAGES at least.
+VALID, FEW = 0.05, 100
+#: Share of a container's pages that a template text is on.
+TEXT = 0.6
 #: Of a container's text, what the innermost one that is chosen must hold.
 MOST = 0.7
 #: Bytes of all hosts' templates up to which they are broadcast.
@@ -135,7 +140,7 @@ def number(*of: object) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, of)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-TOKENS = "host string, token long, path string, pages long, low long, high long, chars long, main boolean, once long"
+TOKENS = "host string, token long, path string, tag boolean, pages long, low long, high long, chars long, whole long, main boolean, once long"
 
 
 def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,37 +148,40 @@ def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def sent(sums: dict) -> pa.RecordBatch:
         rows = [(host, token, *v) for (host, token), v in sums.items()]
-        types = (pa.string(), pa.int64(), pa.string(), *(pa.int64(),) * 4, pa.bool_(), pa.int64())
+        types = (pa.string(), pa.int64(), pa.string(), pa.bool_(), *(pa.int64(),) * 5, pa.bool_(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in TOKENS.split(", ")])
 
     sums: dict[tuple[str, int], list] = {}
     for batch in batches:
         for host, key, page in zip(*(c.to_pylist() for c in batch.columns)):
-            seen: dict[int, list] = {0: [None, 1, 0, False]}
+            seen: dict[int, list] = {0: [None, False, 1, 0, False]}
+            whole = 0
             for what, node in parts(page or ""):
                 if not what:
-                    x = seen.setdefault(number("tag", node.path), [node.path, 0, 0, node.tag in MAIN and not node.other])
-                    x[1] += 1
+                    x = seen.setdefault(number("tag", node.path), [node.path, True, 0, 0, node.tag in MAIN and not node.other])
+                    x[2] += 1
                 elif what[0] == "t":
                     words = " ".join(what[1:].split())
-                    x = seen.setdefault(number("text", node.path, words), [None, 0, 0, False])
-                    x[1] += 1
+                    x = seen.setdefault(number("text", node.path, words), [None if node.other else node.path, False, 0, 0, False])
+                    x[2] += 1
                     if not node.other and not node.link:
+                        whole += len(words)
                         path = node.path
                         while path:
-                            seen.setdefault(number("tag", path), [path, 0, 0, False])[2] += len(words)
+                            seen.setdefault(number("tag", path), [path, True, 0, 0, False])[3] += len(words)
                             path = path.rpartition("/")[0]
             signs: dict[int, tuple[int, int]] = {}
-            for token, (path, count, chars, main) in seen.items():
+            for token, (path, tag, count, chars, main) in seen.items():
                 if count not in signs:
                     x = number("sign", key, count)
                     signs[count] = x & 0xFFFFFFFF, x >> 32 & 0xFFFFFFFF
-                v = sums.setdefault((host, token), [path, 0, 0, 0, 0, main, 0])
-                v[1] += 1
-                v[2] += signs[count][0]
-                v[3] += signs[count][1]
-                v[4] += chars
-                v[6] += count == 1
+                v = sums.setdefault((host, token), [path, tag, 0, 0, 0, 0, 0, main, 0])
+                v[2] += 1
+                v[3] += signs[count][0]
+                v[4] += signs[count][1]
+                v[5] += chars
+                v[6] += whole
+                v[8] += count == 1
             if len(sums) > 200_000:
                 yield sent(sums)
                 sums = {}
@@ -181,37 +189,79 @@ def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sent(sums)
 
 
-def deduced(table: pa.Table) -> tuple[list[int], str | None]:
-    """Template texts and the path of the main container, of the tokens of one host."""
+def support(total: int) -> int:
+    return max(PAGES, min(int(VALID * total), FEW))
+
+
+def deduced(table: pa.Table) -> tuple[list[int], list[tuple[str, float, bool]]]:
+    """Template texts, and path, share of the pages' text and whether it is an <article> or <main> of each container that can be
+    a page's main one, outermost first; of the tokens of one host."""
     rows = table.to_pylist()
     total = next((r["pages"] for r in rows if r["token"] == 0), 0)
+    # a host with few pages has one layout, which is on half of them
+    least = support(total) if total >= PAGES else total / 2
     found: dict[tuple, list[dict]] = {}
     for r in rows:
-        if r["token"] and r["pages"] >= VALID * total:
+        if r["token"] and r["pages"] >= least:
             found.setdefault((r["pages"], r["low"], r["high"]), []).append(r)
-    valid = [c for c in found.values() if len(c) > 1]
-    texts = [r["token"] for c in valid for r in c if r["path"] is None and r["once"] == r["pages"] >= TEXT * total] if total >= PAGES else []
-    # containers of the nested template, outermost first: tags that occur once on each page that has them
-    containers = sorted((r for c in valid for r in c if r["path"] is not None and r["once"] == r["pages"]), key=lambda r: (r["path"].count("/"), r["path"]))
-    named = [r for r in containers if r["main"]]
-    if named:
-        return texts, max(named, key=lambda r: (r["chars"], r["path"]))["path"]
-    best = None
-    for r in containers:
-        if best is None or r["path"].startswith(best["path"] + "/") and r["chars"] >= MOST * best["chars"]:
-            best = r
-    return texts, best and best["path"]
+    # containers of the nested template: tags that occur once on each page that has them
+    containers = {r["path"]: r for c in found.values() if len(c) > 1 for r in c if r["tag"] and r["once"] == r["pages"]}
+
+    def around(path: str) -> dict | None:
+        while path and path not in containers:
+            path = path.rpartition("/")[0]
+        return containers.get(path)
+
+    texts = []
+    if total >= PAGES:
+        for r in rows:
+            if r["token"] and not r["tag"] and r["path"] is not None and r["pages"] >= least:
+                inside = around(r["path"])
+                if r["pages"] >= TEXT * (inside["pages"] if inside else total):
+                    texts.append(r["token"])
+    mains: list[tuple[str, float, bool]] = []
+    kept: dict[str, float] = {}
+    for path, r in sorted(containers.items(), key=lambda x: (x[0].count("/"), x[0])):
+        share = r["chars"] / max(r["whole"], 1)
+        above = path.rpartition("/")[0]
+        first = around(above) is None
+        while above and not first:
+            first = above in kept and share >= MOST * kept[above]
+            above = above.rpartition("/")[0]
+        if first:
+            kept[path] = share
+        if first or r["main"]:
+            mains.append((path, share, r["main"]))
+    return texts, mains
+
+
+TEMPLATE = "host string, texts array<long>, mains array<struct<path: string, share: double, main: boolean>>"
 
 
 def template(key: tuple, table: pa.Table) -> pa.Table:
-    texts, path = deduced(table)
-    return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([texts], pa.list_(pa.int64())), pa.array([path], pa.string())], ["host", "texts", "main"])
+    texts, mains = deduced(table)
+    kind = pa.list_(pa.struct([("path", pa.string()), ("share", pa.float64()), ("main", pa.bool_())]))
+    mains = [dict(zip(("path", "share", "main"), m)) for m in mains]
+    return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([texts], pa.list_(pa.int64())), pa.array([mains], kind)], ["host", "texts", "mains"])
+
+
+def chosen(mains: list[dict], there: set[str]) -> str | None:
+    """The main container of a page that has the paths `there`."""
+    here = [m for m in mains if m["path"] in there]
+    if named := [m for m in here if m["main"]]:
+        return max(named, key=lambda m: (m["share"], m["path"]))["path"]
+    best = None
+    for m in here:
+        if best is None or m["path"].startswith(best["path"] + "/") and m["share"] >= MOST * best["share"]:
+            best = m
+    return best and best["path"]
 
 
-def extracted(page: str, texts: frozenset[int], path: str | None) -> str:
+def extracted(page: str, texts: frozenset[int], mains: list[dict]) -> str:
     """The slots of the main container. Without one on this page: its own <article> or <main>, or else the whole page."""
     seen = list(parts(page))
-    if path is None or not any(n.path == path for w, n in seen if not w):
+    path = chosen(mains, {n.path for w, n in seen if not w})
+    if path is None:
         inside = (lambda n: n.main) if any(n.main and not n.other for w, n in seen if w[:1] == "t") else lambda n: True
     else:
         inside = lambda n: n.path == path or n.path.startswith(path + "/")
@@ -235,9 +285,9 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         known: dict[tuple, frozenset[int]] = {}
         out = []
-        for page, texts, path in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+        for page, texts, mains in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
             key = tuple(texts or ())
-            out.append(extracted(page or "", known.setdefault(key, frozenset(key)), path))
+            out.append(extracted(page or "", known.setdefault(key, frozenset(key)), mains or []))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -248,17 +298,19 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     tokens = rows.select("host", F.xxhash64("page_id", "url", "html").cast("string").alias("key"), "html").mapInArrow(tokenised, TOKENS)
     summed = saved(
-        tokens.groupBy("host", "token").agg(F.first("path", True).alias("path"), *(F.sum(c).alias(c) for c in ("pages", "low", "high", "chars")), F.max("main").alias("main"), F.sum("once").alias("once")),
+        tokens.groupBy("host", "token").agg(F.first("path", True).alias("path"), F.max("tag").alias("tag"), *(F.sum(c).alias(c) for c in ("pages", "low", "high", "chars", "whole")), F.max("main").alias("main"), F.sum("once").alias("once")),
         work_dir(spark, "tokens"),
     )
     totals = summed.where(F.col("token") == 0).select("host", F.col("pages").alias("total"))
-    # a host keeps tokens on half of its pages: twice what an average page has, at most; the rest goes before the shuffle by host
+    # a host keeps tokens on `support` pages: of FEW pages, as many as one has, at most; the rest goes before the shuffle by host
     if totals.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         totals = F.broadcast(totals)
-    frequent = summed.join(totals, "host").where(F.col("pages") >= VALID * F.col("total")).drop("total")
-    templates = saved(frequent.groupBy("host").applyInArrow(template, "host string, texts array<long>, main string"), work_dir(spark, "templates"))
-    size = templates.agg(F.sum(F.length("host") + 8 * F.size("texts") + F.coalesce(F.length("main"), F.lit(0)) + 64)).first()[0] or 0
+    least = F.when(F.col("total") < PAGES, F.col("total") / 2).otherwise(F.greatest(F.lit(PAGES), F.least((F.col("total") * VALID).cast("long"), F.lit(FEW))))
+    least = F.when(F.col("token") == 0, 0).otherwise(least)
+    frequent = summed.join(totals, "host").where(F.col("pages") >= least).drop("total")
+    templates = saved(frequent.groupBy("host").applyInArrow(template, TEMPLATE), work_dir(spark, "templates"))
+    size = templates.agg(F.sum(F.length("host") + 8 * F.size("texts") + F.aggregate("mains", F.lit(0), lambda n, m: n + F.length(m["path"]) + 32) + 64)).first()[0] or 0
     known = F.broadcast(templates) if size <= BROADCAST_BYTES else templates
     types = pages.schema
     schema = f"page_id {types['page_id'].dataType.simpleString()}, url {types['url'].dataType.simpleString()}, text string, n_chars long"
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "texts", "main").mapInArrow(read, schema)
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "texts", "mains").mapInArrow(read, schema)
