@@ -120,6 +120,12 @@ def test_line_dedup_counts_near_the_threshold_exactly(spark):
     assert got.where("n_removed > 0").count() == 99 + 100
 
 
+def test_line_dedup_counts_an_empty_site(spark):
+    rows = [(i, f"line {n}", f"s{i}" if i else "") for n in (9, 10) for i in range(n)] + [(20, "line 9", None)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted((r.doc_id, r.n_removed) for r in got.where("text = '' or n_removed > 0").collect()) == [(i, 1) for i in range(1, 10)]
+
+
 def test_language_id(spark, empty):
     rows = [(i, prose(i, 5 + i % 40, lang), lang) for i in range(300) for lang in [("en", "fr", "de")[i % 3]]]
     extra = [(1000, None, "en"), (1001, "", "en"), (1002, "123 !!", "fr"), (1003, "the", None), (None, prose(1), "en"), (5, prose(5, 10, "de"), "de"), (1004, prose(9, 60000, "fr"), "fr")]

@@ -36,7 +36,8 @@ def exploded(docs: DataFrame, text: str, site: str, key: str) -> DataFrame:
 def boilerplate(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K, margin: float = 3.0) -> DataFrame:
     """h, n, first of each line on `sites` distinct sites or more."""
     error = margin * 1.04 / 2 ** (lg_k / 2)
-    merged = lines.groupBy("h", "n").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min(F.struct("doc", "of", "pos")).alias("first"))
+    named = F.concat(F.lit("s"), F.col("site"))  # sketches ignore empty strings; null stays null
+    merged = lines.groupBy("h", "n").agg(F.hll_sketch_agg(named, F.lit(lg_k)).alias("sketch"), F.min(F.struct("doc", "of", "pos")).alias("first"))
     spread = saved(
         merged.withColumn("estimate", F.hll_sketch_estimate("sketch")).where(F.col("estimate") >= sites * (1 - error)).select("h", "n", "first", "estimate"),
         work_dir(lines.sparkSession, "spread"),
