@@ -137,6 +137,13 @@ def test_farthest_points(frame, spark, monkeypatch):
     assert [r.distance for r in one[1:]] == sorted((r.distance for r in one[1:]), reverse=True)
 
 
+def test_farthest_points_among_repeated_ones(spark):
+    points = spark.createDataFrame([(k, [float(k % 3), 1.0], 1.0) for k in range(8)], "id long, x array<double>, w double")
+    for n in (3, 6, 12):
+        one, two = (f.orderBy("rank").collect() for f in (landmarks.minmax(points, n), landmarks.minmax_distributed(points, n, 0)))
+        assert one == two and len(one) == min(n, 8)
+
+
 def test_selections(frame, spark):
     assert [r.id for r in landmarks.stride(frame, 10).orderBy("rank").collect()] == [13 * k for k in range(10)]
     unique = [r.id for r in landmarks.random(frame, 130, unique=True).collect()]

@@ -140,9 +140,13 @@ def minmax_distributed(points: DataFrame, n: int, first: int, metric: Metric = M
         return run
 
     schema = "id long, x array<double>, least double"
+    n = min(n, points.count())
     while len(chosen) < n:
         top = state.mapInArrow(folded(fresh, True), schema).agg(F.max_by(F.struct("id", "x", "least"), F.struct("least", -F.col("id"))).alias("t")).first()["t"]
-        if top is None or top["least"] == 0:
+        if top is None:
+            break
+        if top["least"] == 0:  # from here on it stays the same, as in `farthest_rows`
+            chosen += [(k, int(top["id"]), 0.0) for k in range(len(chosen), n)]
             break
         chosen.append((len(chosen), int(top["id"]), float(top["least"])))
         fresh.append(top["x"])
