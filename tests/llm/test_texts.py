@@ -82,6 +82,29 @@ def test_packing(docs, empty):
     assert packing.pack_texts(empty, tokenizer_path(WORDS)).count() == 0
 
 
+def test_packing_limits_tokens_with_loss(spark):
+    talks = {c: [(t, ("user", "assistant", None)[t % 3], prose(10 * c + t, 5 + 29 * ((c + t) % 7))) for t in range(c % 6 + 1)] for c in range(40)}
+    rows = [(c, *x) for c, v in talks.items() for x in v] + [(99, 0, "assistant", None)]
+    frame = packing.by_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    got = packing.pack_texts(frame, tokenizer_path(WORDS), most_tokens=256, turns="turns", most_loss=100).collect()
+    ids, loss = {99: [1]}, {99: [True]}
+    for c, v in talks.items():
+        each = whole(WORDS, [t for *_, t in v])
+        ids[c] = [i for e in each for i in e] + [1]
+        loss[c] = [r == "assistant" for (_, r, _), e in zip(v, each) for _ in e]
+        loss[c].append(loss[c][-1])
+    borne, used, pieces = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        pieces[r.doc_id].append((r.start, r.start + r.length))
+        borne[r.sequence_id] += sum(loss[r.doc_id][r.start : r.start + r.length])
+        used[r.sequence_id] += r.length
+    assert {c: [0, *(b for _, b in sorted(v))] for c, v in pieces.items()} == {c: [*(a for a, _ in sorted(v)), len(ids[c])] for c, v in pieces.items()}
+    assert pieces.keys() == ids.keys()
+    assert max(borne.values()) <= 100 and max(used.values()) <= 256 and sum(borne.values()) == sum(map(sum, loss.values()))
+    assert packing.pack_texts(frame.limit(0), tokenizer_path(WORDS), turns="turns", most_loss=7).count() == 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 50), st.integers(0, 50)), max_size=60))
 def test_place_keeps_every_limit(items):

@@ -57,21 +57,33 @@ def place(tokens: np.ndarray, loss: np.ndarray, most_tokens: int, most_segments:
     return bins, offsets
 
 
-def cut(path: str, kind: str, end_id: int, size: int):
-    """Pieces of each text: whole sequences, then the rest."""
+def cut(path: str, kind: str, end_id: int, size: int, most_loss: int):
+    """Pieces of each text: whole sequences, or what bears `most_loss`, then the rest. With turns, these are encoded one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(path, kind, ids=True)
         for batch in batches:
             for part in chunks(batch, "text"):
-                counts, flat = memo.encode(part.column(1))
+                bears = None
+                if part.num_columns > 2:
+                    sizes, flat = memo.encode(part.column(2).flatten())
+                    bears = np.repeat(part.column(3).flatten().to_numpy(zero_copy_only=False).astype(bool), sizes)
+                    turns = np.concatenate([[0], np.cumsum(part.column(2).value_lengths().to_numpy(zero_copy_only=False))])
+                    counts = np.diff(np.concatenate([[0], np.cumsum(sizes)])[turns])
+                else:
+                    counts, flat = memo.encode(part.column(1))
                 first = np.concatenate([[0], np.cumsum(counts)])
                 rows: list[tuple] = []
                 for doc, a, n in zip(part.column(0).to_pylist(), first.tolist(), counts.tolist()):
                     ids = np.append(flat[a : a + n], np.uint32(end_id)).astype("<u4")
-                    for at in range(0, n + 1, size):
-                        piece = ids[at : at + size]
-                        rows.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), n + 1, len(piece)))
+                    # the end id bears loss as the token before it does
+                    loss = np.arange(n + 2) if bears is None else np.concatenate([[0], np.cumsum(np.append(bears[a : a + n], bears[a + n - 1] if n else True))])
+                    at = 0
+                    while at <= n:
+                        to = min(at + size, n + 1, int(loss.searchsorted(loss[at] + most_loss, "right")) - 1)
+                        piece = ids[at:to]
+                        rows.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), n + 1, int(loss[to] - loss[at])))
+                        at = to
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss"])
 
     return run
@@ -94,11 +106,31 @@ def pack(pieces: DataFrame, most_tokens: int = 2048, most_segments: int = 512, m
     return dealt.groupBy("deal").applyInArrow(placed(most_tokens, most_segments, most_tokens if most_loss is None else most_loss), PACKED)
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, kind: str = "words", end_id: int = 1, most_tokens: int = 2048, most_segments: int = 512) -> DataFrame:
-    """Token ids of each text of docs (doc_id, text), then `end_id`, cut and packed. Every token of a text bears loss.
+def turned(docs: DataFrame, turns: str) -> DataFrame:
+    """doc_id, the whole text, and texts and loss of the turns."""
+    each = F.coalesce(turns, F.array().cast(docs.schema[turns].dataType))
+    texts = F.transform(each, lambda t: F.coalesce(t["text"], F.lit("")))
+    return docs.select("doc_id", F.array_join(texts, "").alias("text"), texts.alias("texts"), F.transform(each, lambda t: F.coalesce(t["loss"], F.lit(False))).alias("loss"))
+
+
+def by_turns(rows: DataFrame, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """doc_id and turns for `pack_texts` of conversations (conv_id, turn, role, text): turns in `roles` bear loss."""
+    turn = F.struct("turn", "text", F.coalesce(F.col("role").isin(*roles), F.lit(False)).alias("loss"))
+    ordered = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["text"].alias("text"), t["loss"].alias("loss")))
+    return rows.groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(ordered.alias("turns"))
+
+
+def pack_texts(docs: DataFrame, tokenizer: str, kind: str = "words", end_id: int = 1, most_tokens: int = 2048, most_segments: int = 512, turns: str | None = None, most_loss: int | None = None) -> DataFrame:
+    """Token ids of each text of docs (doc_id, text), then `end_id`, cut and packed. Every token of a text bears loss; with
+    `turns`, the name of a column array<struct<text, loss: boolean>> that stands for the text, those of turns with loss only.
+    No sequence has more than `most_loss` of them (at least 1; any number if None).
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
-    pieces = saved(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut(tokenizer, kind, end_id, most_tokens), PIECES), work_dir(docs.sparkSession, "pieces"))
+    most_loss = most_tokens if most_loss is None else most_loss
+    if most_loss < 1:
+        raise ValueError(f"most_loss {most_loss}: a sequence has room for 1 token with loss at least")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")) if turns is None else turned(docs, turns)
+    pieces = saved(texts.mapInArrow(cut(tokenizer, kind, end_id, most_tokens, most_loss), PIECES), work_dir(docs.sparkSession, "pieces"))
     full = pieces.where(F.col("length") == most_tokens).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    packed = pack(pieces.where(F.col("length") < most_tokens), most_tokens, most_segments)
+    packed = pack(pieces.where(F.col("length") < most_tokens), most_tokens, most_segments, most_loss)
     return full.unionByName(packed).drop("loss")
