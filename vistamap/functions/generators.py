@@ -21,6 +21,20 @@ class Drand48:
         return self.x / (1 << 48)
 
 
+    def jump(self, n: int) -> Drand48:
+        """The generator after n more draws, by repeated squaring of its step."""
+        times, plus, mask = self.TIMES, self.PLUS, (1 << 48) - 1
+        while n:
+            if n & 1:
+                self.x = (times * self.x + plus) & mask
+            plus, times, n = (times * plus + plus) & mask, times * times & mask, n >> 1
+        return self
+
+    def take(self, n: int) -> np.ndarray:
+        """The next n draws."""
+        return np.array([self() for _ in range(n)])
+
+
 class Twister:
     """MT19937, 32 bits a draw, as a fraction of 2**32."""
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def add_column(table: DataFrame, other: DataFrame, name: str, frame: str = "frame") -> DataFrame:
     """table with the column `name` of other, which must have the same frames; the name must be new."""
@@ -96,19 +98,27 @@ def color_index(table: DataFrame, column: str, colors: int) -> DataFrame:
 
 
 def segments(table: DataFrame, x: str, y: str, order: str = "frame", series: str | None = None) -> DataFrame:
-    """Lines between consecutive rows: x0, y0, x1, y1, per series if one is named."""
-    by = Window.partitionBy(*([series] if series else [])).orderBy(order)
-    keep = [series] if series else []
-    rows = table.select(*keep, order, F.lag(x).over(by).alias("x0"), F.lag(y).over(by).alias("y0"), F.col(x).alias("x1"), F.col(y).alias("y1"))
+    """Lines between consecutive rows: x0, y0, x1, y1, per series if one is named; else rows are numbered by ranges and joined with
+    the next, so that no task holds all."""
+    if series is None:
+        rows = numbered(table.select(order, F.col(x).alias("x1"), F.col(y).alias("y1")), order)
+        before = rows.select((F.col("rank") + 1).alias("rank"), F.col("x1").alias("x0"), F.col("y1").alias("y0"))
+        return rows.join(before, "rank").where(F.col("x0").isNotNull()).select(order, "x0", "y0", "x1", "y1")
+    by = Window.partitionBy(series).orderBy(order)
+    rows = table.select(series, order, F.lag(x).over(by).alias("x0"), F.lag(y).over(by).alias("y0"), F.col(x).alias("x1"), F.col(y).alias("y1"))
     return rows.where(F.col("x0").isNotNull())
 
 
 def steps(table: DataFrame, x: str, y: str, series: str | None = None) -> DataFrame:
     """Bars of a step plot: x0, x1, height; the last is as wide as the one before."""
-    by = Window.partitionBy(*([series] if series else [])).orderBy(x)
-    keep = [series] if series else []
+    if series is None:
+        rows = numbered(table.select(F.col(x).alias("x0"), F.col(y).alias("height")), "x0")
+        near = lambda by, name: rows.select((F.col("rank") + by).alias("rank"), F.col("x0").alias(name))
+        both = rows.join(near(-1, "after"), "rank", "left").join(near(1, "before"), "rank", "left")
+        return both.select("x0", F.coalesce("after", F.col("x0") + F.col("x0") - F.col("before")).alias("x1"), "height")
+    by = Window.partitionBy(series).orderBy(x)
     end = F.coalesce(F.lead(x).over(by), F.col(x) + F.col(x) - F.lag(x).over(by))
-    return table.select(*keep, F.col(x).alias("x0"), end.alias("x1"), F.col(y).alias("height"))
+    return table.select(series, F.col(x).alias("x0"), end.alias("x1"), F.col(y).alias("height"))
 
 
 def dataset(table: DataFrame, x: str, y: str, color: str | None = None, size: str | None = None) -> DataFrame:
@@ -121,6 +131,28 @@ def frame_values(table: DataFrame, frame_number: int, names: Sequence[str], fram
     return one.select(F.posexplode(F.array(*(F.col(n).cast("double") for n in names))).alias("n", "value"))
 
 
+def around(frames: DataFrame, current: int, before: int, after: int) -> DataFrame:
+    """side, place (1 nearest), point: the points of the frames before and after the current one, out of (frame, point). Each
+    point once, at its nearest place, after rather than before, and without the current frame's own."""
+    own = frames.where(F.col("frame") == current).select(F.col("point").alias("__own"))
+    off = F.col("frame") - F.lit(current)
+    near = frames.where(off.between(-before, after) & (off != 0)).crossJoin(F.broadcast(own)).where(F.col("point") != F.col("__own"))
+    first = near.withColumn("off", off).groupBy("point").agg(F.min(F.struct((F.col("off") < 0).alias("back"), F.abs("off").alias("far"))).alias("at"))
+    place = F.row_number().over(Window.partitionBy("side").orderBy("far"))
+    return first.select(F.when(F.col("at.back"), "before").otherwise("after").alias("side"), F.col("at.far").alias("far"), "point").withColumn("place", place).select("side", "place", "point")
+
+
+def unmap(place: Column, low: float, high: float, start: float, end: float) -> Column:
+    """The inverse of `map_to`: data of a place on the plot."""
+    return low + (place - start) * ((high - low) / (end - start))
+
+
+def zoomed(table: DataFrame, x: str, y: str, window: tuple[float, float, float, float]) -> DataFrame:
+    """Rows in xmin, ymin, xmax, ymax with px and py, their places in the unit square that the window fills."""
+    a, b, c, d = window
+    return lasso(table, x, y, window).withColumns({"px": map_to(F.col(x), a, c, 0.0, 1.0), "py": map_to(F.col(y), b, d, 0.0, 1.0)})
+
+
 def map_to(value: Column, low: float, high: float, start: float, end: float) -> Column:
     """Linear map of [low, high] to [start, end], as plots have it."""
     return start + (value - low) * ((end - start) / (high - low))

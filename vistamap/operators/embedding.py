@@ -6,6 +6,7 @@ MOST points: embed landmarks and project the rest (see projection)."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from vistamap.functions.metrics import Metric
 from .pairs import matrix, self_tiles
 
 MOST = 6000
+#: Weights of a sparse eigenproblem on the driver, 24 bytes each.
+SPARSE = 20_000_000
 
 
 def centred(points: DataFrame, metric: Metric = Metric()) -> DataFrame:
@@ -164,6 +167,45 @@ def local_weights(points: DataFrame, edges: DataFrame, smooth: float = -1e-5, ta
     return rows.select("i", "j", "xi", "xj").groupBy("i").applyInArrow(run, "i long, j long, v double")
 
 
+def rebuilt_errors(points: DataFrame, weights: DataFrame, column: str = "x") -> DataFrame:
+    """id, error: the length of the difference between each point's array and the weighted sum of its neighbours' (i, j, v). The root of
+    the mean of its squares is the error of the embedding."""
+    p = points.select("id", F.posexplode(column).alias("k", "a"))
+    near = weights.join(p.select(F.col("id").alias("j"), "k", "a"), "j").groupBy("i", "k").agg(F.sum(F.col("v") * F.col("a")).alias("s"))
+    both = near.join(p.select(F.col("id").alias("i"), "k", "a"), ["i", "k"])
+    return both.groupBy(F.col("i").alias("id")).agg(F.sqrt(F.sum((F.col("s") - F.col("a")) * (F.col("s") - F.col("a")))).alias("error"))
+
+
+def smallest(apply: Callable[[np.ndarray], np.ndarray], n: int, k: int, rounds: int = 60, tolerance: float = 1e-9, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest eigenvalues and vectors of a symmetric matrix without negative ones, known by its products with columns: inverse iteration on a
+    block, each solved by conjugate gradients, with a Ritz step a round. Memory is that of a few blocks, not of the matrix."""
+    x = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, 2 * k + 2))))[0]
+    values = np.full(x.shape[1], np.inf)
+    for _ in range(rounds):
+        shift = max(1e-12, 1e-3 * min(values[min(k, len(values)) - 1], 1.0)) if np.isfinite(values[0]) else 1e-3
+        x = np.linalg.qr(solved(lambda v, s=shift: apply(v) + s * v, x))[0]
+        q, u = np.linalg.eigh(x.T @ apply(x))
+        x, before, values = x @ u, values, q
+        if np.abs(values[:k] - before[:k]).max() <= tolerance * max(1.0, abs(values[k - 1])):
+            break
+    return values[:k], oriented(x[:, :k])
+
+
+def solved(apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, steps: int = 400, tolerance: float = 1e-10) -> np.ndarray:
+    """Conjugate gradients for several right sides at once."""
+    x, r = np.zeros_like(b), b.copy()
+    p, size = r.copy(), (r * r).sum(0)
+    for _ in range(steps):
+        if (size <= tolerance**2 * (b * b).sum(0)).all():
+            break
+        m = apply(p)
+        a = np.where(size > 0, size / np.maximum((p * m).sum(0), 1e-300), 0)
+        x, r = x + a * p, r - a * m
+        new = (r * r).sum(0)
+        p, size = r + np.where(size > 0, new / np.maximum(size, 1e-300), 0) * p, new
+    return x
+
+
 def hessian_rows(points: DataFrame, edges: DataFrame, d: int = 2) -> DataFrame:
     """r, j, v: rows of the local Hessian estimators of each neighbourhood."""
     p = points.select("id", "x")
@@ -185,7 +227,10 @@ def hessian_rows(points: DataFrame, edges: DataFrame, d: int = 2) -> DataFrame:
 
 def lle(points: DataFrame, edges: DataFrame, d: int = 2, mode: str = "lle", smooth: float = -1e-5, tangent: int = 2) -> tuple[DataFrame, dict]:
     """(id, y) of points with edges, and a report. mode: lle, llte (tangent space) or hlle (Hessian)."""
-    ids, _ = gathered(points.join(edges.select(F.col("i").alias("id")), "id", "left_semi"))
+    kept = points.join(edges.select(F.col("i").alias("id")), "id", "left_semi")
+    if mode != "hlle" and kept.count() > MOST:
+        return lle_large(kept, edges, d, smooth, tangent if mode == "llte" else 0)
+    ids, _ = gathered(kept)
     n = len(ids)
     m = np.zeros((n, n))
     if mode == "hlle":
@@ -208,5 +253,28 @@ def lle(points: DataFrame, edges: DataFrame, d: int = 2, mode: str = "lle", smoo
         r = (y * near.sum(0)[:, None]).T @ y
         q, u = np.linalg.eigh(r / len(y))
         y = y @ (u * q**-0.5) @ u.T
-    report = {"eigenvalues": values[: d + 2], "error": float(np.trace(y.T @ m @ y)) / n}
+    report = {"eigenvalues": values[: d + 2], "error": float(np.trace(y.T @ m @ y)) / n, "next": float(values[d + 1]) if n > d + 1 else None}
     return layout(points.sparkSession, ids, y), report
+
+
+def lle_large(points: DataFrame, edges: DataFrame, d: int = 2, smooth: float = -1e-5, tangent: int = 0) -> tuple[DataFrame, dict]:
+    """LLE of more points than MOST: the weights, and a few columns, are on the driver as sparse rows; more than SPARSE weights are refused."""
+    weights = local_weights(points, edges, smooth, tangent)
+    n_weights = edges.count()
+    if n_weights > SPARSE:
+        raise ValueError(f"{n_weights} weights: more than {SPARSE} are not gathered")
+    ids = np.sort(points.select("id").distinct().toArrow()["id"].to_numpy())
+    t = weights.toArrow()
+    i, j, v = np.searchsorted(ids, t["i"].to_numpy()), np.searchsorted(ids, t["j"].to_numpy()), t["v"].to_numpy()
+    n = len(ids)
+
+    def times(r: np.ndarray, c: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(r, v * x[c, k], n) for k in range(x.shape[1])], 1)
+
+    def apply(x: np.ndarray) -> np.ndarray:
+        y = x - times(i, j, x)
+        return y - times(j, i, y)
+
+    values, vectors = smallest(apply, n, d + 2)
+    y = vectors[:, 1 : d + 1] * math.sqrt(n)
+    return layout(points.sparkSession, ids, y), {"eigenvalues": values, "error": float((y * apply(y)).sum()) / n, "next": float(values[d + 1])}

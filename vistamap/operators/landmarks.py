@@ -8,7 +8,6 @@ checkpoint folder. Weighted draws (resample, staged) are sequential by definitio
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from vistamap.functions.generators import Drand48
 from vistamap.functions.metrics import Metric
 
+from .numbering import numbered, shared_path
 from .pairs import matrix
 
 IN_MEMORY = 20_000_000
@@ -27,12 +27,6 @@ SAVED = 16
 BROADCAST = 10_000_000
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, or, if it is unset, in the warehouse."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def ranked(spark: SparkSession, ids: list[int]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(map(int, ids))), "rank int, id long")
 
@@ -50,19 +44,37 @@ def stride(points: DataFrame, n: int) -> DataFrame:
     return points.where((F.col("id") % step == 0) & (F.col("id") / step < n)).select((F.col("id") / step).cast("int").alias("rank"), "id")
 
 
+#: Draws that a task makes in a row.
+DRAWS = 1 << 16
+
+
+def draws(spark: SparkSession, n: int, size: int, seed: int = 12345) -> DataFrame:
+    """k (0 ..), id: n numbers below `size` from the seeded generator, after one that is discarded. Each task jumps ahead to its
+    own part of the sequence, so the driver draws nothing."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                u = Drand48(seed).jump(1 + part * DRAWS).take(min(DRAWS, n - part * DRAWS))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(u)) + part * DRAWS), pa.array((u * size).astype(np.int64))], ["k", "id"])
+
+    parts = -(-n // DRAWS)
+    return spark.range(0, parts, 1, max(1, min(parts, 4096))).mapInArrow(run, "k long, id long")
+
+
 def random(points: DataFrame, n: int, seed: int = 12345, unique: bool = False) -> DataFrame:
     """n draws with replacement; `unique` draws again instead of repeating."""
-    size, draw, ids = points.count(), Drand48(seed), []
-    if unique and n > size:
+    spark, size = points.sparkSession, points.count()
+    if not unique:
+        return draws(spark, n, size, seed).select(F.col("k").cast("int").alias("rank"), "id")
+    if n > size:
         raise ValueError("more distinct landmarks than points")
-    draw()
-    seen: set[int] = set()
-    while len(ids) < n:
-        k = int(draw() * size)
-        if not unique or k not in seen:
-            ids.append(k)
-            seen.add(k)
-    return ranked(points.sparkSession, ids)
+    many = n + n // 4 + 16
+    while True:  # as many draws as give n different ones; the first of each counts
+        first = draws(spark, many, size, seed).groupBy("id").agg(F.min("k").alias("k"))
+        if first.count() >= n:
+            break
+        many *= 2
+    return numbered(first, "k").where(F.col("rank") < n).select(F.col("rank").cast("int").alias("rank"), "id")
 
 
 def local(points: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,18 +112,27 @@ def minmax(points: DataFrame, n: int, first: int = 0, metric: Metric = Metric())
 
 
 def minmax_of_pairs(pairs: DataFrame, n: int, first: int = 0) -> DataFrame:
-    """rank, id, distance by farthest-point selection over a similarity relation (i, j, d): one pass over the pairs of the
-    newest landmark a round."""
+    """rank, id, distance by farthest-point selection over a similarity relation (i, j, d). The pairs are written once, sorted by i within files
+    dealt by it, so that a round reads the newest landmark's pairs only; each point's least distance so far is a table that
+    the round folds them into, -1 for landmarks."""
     spark = pairs.sparkSession
     both = pairs.select("i", "j", "d").union(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
-    chosen, marks = [(0, first, 0.0)], [first]
+    path, schema = shared_path(spark, "relation"), "j long, least double"
+    both.repartition("i").sortWithinPartitions("i").write.parquet(path)
+    both = spark.read.parquet(path)
+    chosen, newest = [(0, first, 0.0)], first
+    least = spark.createDataFrame([(first, -1.0)], schema)
     while len(chosen) < n:
-        near = both.where(F.col("i").isin(marks) & ~F.col("j").isin(marks)).groupBy("j").agg(F.min("d").alias("d"))
-        top = near.agg(F.max_by(F.struct("j", "d"), F.struct("d", -F.col("j"))).alias("t")).first()["t"]
+        near = both.where(F.col("i") == newest).groupBy("j").agg(F.min("d").alias("d"))
+        marked = least.select("j", F.when(F.col("j") == newest, -1.0).otherwise(F.col("least")).alias("least"))
+        table = shared_path(spark, "least")
+        marked.join(near, "j", "full_outer").select("j", F.coalesce(F.least("least", "d"), "least", "d").alias("least")).write.parquet(table)
+        least = spark.read.schema(schema).parquet(table)
+        top = least.where("least >= 0").agg(F.max_by(F.struct("j", "least"), F.struct("least", -F.col("j"))).alias("t")).first()["t"]
         if top is None:
             break
-        chosen.append((len(chosen), int(top["j"]), float(top["d"])))
-        marks.append(int(top["j"]))
+        newest = int(top["j"])
+        chosen.append((len(chosen), newest, float(top["least"])))
     return spark.createDataFrame(chosen, "rank int, id long, distance double")
 
 
@@ -238,3 +259,25 @@ def coverage_radius(points: DataFrame, landmarks: DataFrame, metric: Metric = Me
 def placed(points: DataFrame, chosen: DataFrame) -> DataFrame:
     """rank, id, x of selected ids; a point that was drawn twice appears twice."""
     return points.join(F.broadcast(chosen) if chosen.count() <= 100_000 else chosen, "id").select("rank", "id", "x")
+
+
+def landmark_lines(chosen: DataFrame, index: bool = False, input_weight: bool = False, weight: bool = False, digits: int = 10) -> DataFrame:
+    """rank, value: a line for each landmark (rank, id, x, and w, weight where asked): its id if `index`, x, which are coordinates or its row of a
+    similarity block, the input weight if `index` and `input_weight`, the landmark's own weight if `weight`."""
+    show = lambda c: F.format_string(f"%.{digits}e", c)
+    parts = [F.col("id").cast("string")] if index else []
+    parts.append(F.array_join(F.transform("x", show), " "))
+    parts += ([show(F.col("w"))] if index and input_weight else []) + ([show(F.col("weight"))] if weight else [])
+    return chosen.select("rank", F.concat_ws(" ", *parts).alias("value"))
+
+
+def similarity_block(pairs: DataFrame, chosen: DataFrame, all_points: bool = False) -> DataFrame:
+    """id, x: distances of a point to the landmarks, in order of their ranks; of landmarks (with their rank), or of all points, for the
+    projection of what is out of the sample. pairs: i, j, d, each once; a point is at distance 0 from itself."""
+    marks = chosen.select("rank", F.col("id").alias("mark"))
+    both = pairs.select("i", "j", "d").union(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    ids = both.select("i").distinct()
+    both = both.union(ids.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d")))
+    near = both.join(F.broadcast(marks) if chosen.count() <= 100_000 else marks, F.col("j") == F.col("mark"))
+    rows = near.groupBy(F.col("i").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "d"))), lambda t: t["d"]).alias("x"))
+    return rows if all_points else rows.join(chosen.select("rank", "id"), "id").select("rank", "id", "x")

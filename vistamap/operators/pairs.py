@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from vistamap.functions.metrics import Metric
 
+from .numbering import numbered
+
 BLOCK = 1024
 
 
@@ -59,7 +61,7 @@ def pair_join(df: DataFrame, metric: Metric = Metric()) -> DataFrame:
 
 def similarity_pairs(df: DataFrame, id: str = "id", row: str = "x") -> DataFrame:
     """i, j, d from a table whose rows are rows of a square matrix; column j belongs to the j-th id in order."""
-    order = df.select(F.col(id).alias("j")).withColumn("k", F.expr("row_number() over (order by j) - 1").cast("int"))
+    order = numbered(df.select(F.col(id).alias("j")), "j", name="k")
     long = df.select(F.col(id).alias("i"), F.posexplode(row).alias("k", "d"))
     return long.join(order, "k").where(F.col("i") > F.col("j")).select("i", "j", "d")
 

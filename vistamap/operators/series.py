@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 class Segment:
     """Sums over v_i * u_(i - h) of a stretch of a series."""
@@ -134,3 +136,39 @@ def acf_fft(x: np.ndarray, lags: int) -> np.ndarray:
     c = np.asarray(x, float) - np.mean(x)
     f = np.fft.rfft(c, 2 * len(c))
     return np.fft.irfft(f * f.conj())[:lags] / (len(c) - np.arange(lags)) / c.var()
+
+
+#: Values of a series that one transform takes; longer series are cut, with the lags before each part.
+TRANSFORM = 1 << 20
+
+
+def autocorrelation_fft(series: DataFrame, lags: int) -> DataFrame:
+    """series, h, acf: each series on its own, centred on its mean and normalised by its variance. Parts of TRANSFORM values are correlated by
+    Fourier transforms with themselves and the `lags` values before them, so that no task holds a series."""
+    rows = numbered_series(series)
+    whole = rows.groupBy("series").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s2"), F.count("*").alias("n"))
+    centred = rows.join(whole.select("series", "m"), "series").select("series", "r", (F.col("v") - F.col("m")).alias("v"))
+    part = F.floor(F.col("r") / TRANSFORM)
+    # a value belongs to its own part, and to the next one as one of those before it
+    own = F.struct(part.alias("part"), F.lit(True).alias("own"))
+    also = F.struct((part + 1).alias("part"), F.lit(False).alias("own"))
+    dealt = centred.withColumn("p", F.explode(F.when(F.col("r") % TRANSFORM >= TRANSFORM - lags, F.array(own, also)).otherwise(F.array(own)))).select("series", "p.part", "p.own", "r", "v")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("r")
+        v, here = t["v"].to_numpy(), t["own"].to_numpy(zero_copy_only=False)
+        size = 1 << (2 * len(v) - 1).bit_length()
+        products = np.fft.irfft(np.fft.rfft(np.where(here, v, 0), size) * np.fft.rfft(v, size).conj(), size)[:lags]
+        h = np.arange(lags)
+        return pa.table([pa.array([key[0].as_py()] * lags, pa.string()), pa.array(h, pa.int32()), products], ["series", "h", "s"])
+
+    sums = dealt.groupBy("series", "part").applyInArrow(run, "series string, h int, s double").groupBy("series", "h").agg(F.sum("s").alias("s"))
+    return sums.join(whole, "series").where("h < n").select("series", "h", (F.col("s") / (F.col("n") - F.col("h")) / F.col("s2")).alias("acf"))
+
+
+def numbered_series(series: DataFrame) -> DataFrame:
+    """series, r (0, 1, ... within each), v, in order of t and id."""
+    rows = series.where(F.col("v").isNotNull()).select(F.col("series").cast("string").alias("series"), "t", "id", F.col("v").cast("double").alias("v"))
+    placed = numbered(rows, "series", "t", "id", name="at")
+    first = placed.groupBy("series").agg(F.min("at").alias("first"))
+    return placed.join(first, "series").select("series", (F.col("at") - F.col("first")).alias("r"), "v")

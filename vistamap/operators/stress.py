@@ -91,6 +91,17 @@ def point_stress(points: DataFrame, place: list[float], hd: DataFrame, terms: Te
     return rows.agg((F.sum(F.col("w") * ((1 - terms.mix) * plain * plain + terms.mix * mixed * mixed)) / F.sum("w")).alias("stress"))
 
 
+def point_gradient(points: DataFrame, place: list[float], hd: DataFrame, terms: Terms = Terms(), skip: int | None = None) -> DataFrame:
+    """One row: stress of one point at `place` and its gradient there, an array; as `point_stress` otherwise."""
+    y = F.array(*map(F.lit, map(float, place)))
+    rows = points.join(hd, "id").where(F.lit(True) if skip is None else F.col("id") != skip).withColumn("ld", Metric().column(F.col("y"), y)).where("ld > 0")
+    plain, mixed = terms.high.value(F.col("d")) - terms.low.value(F.col("ld")), F.col("d") - F.col("ld")
+    error = (1 - terms.mix) * plain * plain + terms.mix * mixed * mixed
+    pull = ((1 - terms.mix) * plain * terms.low.slope(F.col("ld")) + terms.mix * mixed) / F.col("ld") * F.col("w")
+    gradient = F.array(*(2 * F.sum(pull * (F.col("y")[k] - v)) / F.sum("w") for k, v in enumerate(map(float, place))))
+    return rows.agg((F.sum(F.col("w") * error) / F.sum("w")).alias("stress"), gradient.alias("gradient"))
+
+
 def grid_stress(landmarks: DataFrame, distances: DataFrame, axis: list[float], terms: Terms = Terms()) -> DataFrame:
     """gx, gy, stress of a new point at each node of a square grid; distances: id, d to each landmark (id, y, w)."""
     nodes = landmarks.sparkSession.range(len(axis) ** 2).select(
