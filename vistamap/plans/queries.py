@@ -8,15 +8,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistamap.functions import generators, geometry, interpolation
-from vistamap.functions import matrix_functions as mf
+from vistamap.functions import generators, geometry
 from vistamap.functions.metrics import Metric
 from vistamap.functions.transfer import Transfer
-from vistamap.operators import columns, embedding, histogram, landmarks, matrices, neighbors, optimizers, pairs, projection, series, stress, structures, surfaces
+from vistamap.operators import columns, embedding, histogram, landmarks, matrices, neighbors, pairs, projection, series, stress, structures, surfaces
 from vistamap.operators.histogram import Axis
 from vistamap.sources import text
 from vistamap.streaming import live
@@ -271,16 +269,6 @@ def landmark_minmax(spark, sf_dir):
     return landmarks.minmax(points(spark, sf_dir), 10).select("rank", "id", r6("distance", "distance"))
 
 
-@query()
-def landmark_random(spark, sf_dir):
-    return landmarks.random(points(spark, sf_dir), 40, unique=True)
-
-
-@query()
-def landmark_resample(spark, sf_dir):
-    return landmarks.resample(points(spark, sf_dir), 30)
-
-
 @query()
 def landmark_staged(spark, sf_dir):
     return landmarks.staged(points(spark, sf_dir), 30)
@@ -455,12 +443,6 @@ def knn_degree(spark, sf_dir):
     return neighbors.degrees(p, neighbors.knn(p, 8, 1.15))
 
 
-@query()
-def knn_deformed(spark, sf_dir):
-    p = points(spark, sf_dir)
-    return neighbors.deformed(p, neighbors.knn(p, 10), 0.5, 5)
-
-
 # --- series
 
 _LAGS = 12
@@ -775,72 +757,6 @@ def random_draws(spark, sf_dir):
     return spark.createDataFrame([(k, round(draw(), 9)) for k in range(1, 51)], "k int, u double")
 
 
-_COV = "with x as (select vec_id, unnest(embedding::double[]) v, generate_subscripts(embedding, 1) k from embeddings), m as (select a.k i, b.k j, covar_pop(a.v, b.v) c from x a join x b using (vec_id) group by 1, 2)"
-
-
-@query(_COV + " select round(sum(c) filter (i = j), 8)::double trace, round(sum(c * c), 8)::double squares, true inverse, true root, true factor from m")
-def covariance_algebra(spark, sf_dir):
-    """Eigenvalues, inverse, square root and Cholesky factor of the coordinates' covariance; their defining properties must hold."""
-    p = points(spark, sf_dir)
-    x = p.select("id", F.posexplode("x").alias("k", "v"))
-    n = p.count()
-    mean = x.groupBy("k").agg(F.avg("v").alias("m"))
-    c = x.join(mean, "k").select("id", "k", (F.col("v") - F.col("m")).alias("v"))
-    m = matrices.multiply(c.select(F.col("k").alias("i"), F.col("id").alias("j"), "v"), c.select(F.col("id").alias("i"), F.col("k").alias("j"), "v"))
-    rows = m.toArrow().to_pydict()  # as many places as pairs of coordinates
-    size = max(rows["i"]) + 1
-    a = np.zeros((size, size))
-    a[rows["i"], rows["j"]] = np.array(rows["v"]) / n
-    q, _ = mf.eigen_symmetric(a)
-    near = lambda u, v: bool(np.abs(u - v).max() < 1e-8)
-    root, factor = mf.function_symmetric(a, lambda v: np.sqrt(np.maximum(v, 0))), mf.cholesky_stable(a)
-    b = a + np.eye(size)
-    ok = near(mf.pseudo_inverse(b) @ b, np.eye(size)) and near(mf.newton_inverse(b), np.linalg.inv(b)) and near(mf.solve(b, b), np.eye(size))
-    return spark.createDataFrame([(round(float(q.sum()), 8), round(float((q * q).sum()), 8), ok, near(root @ root, a), near(factor @ factor.T, a))], "trace double, squares double, inverse boolean, root boolean, factor boolean")
-
-
-@query("select * from (values ('blocks', true), ('chebyshev', true), ('exponential', true), ('horner', true), ('powers', true)) t(method, agrees)")
-def matrix_polynomials(spark, sf_dir):
-    """Polynomials and exponential of the scaled order matrix of regions against eigenvalues."""
-    rows = table(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") % 5).alias("i"), (F.col("c_custkey") % 5).alias("j")).agg(F.count("*").alias("n")).toArrow().to_pydict()
-    a = np.zeros((5, 5))
-    a[rows["i"], rows["j"]] = rows["n"]
-    a = (a + a.T) / (2 * max(np.abs(a).sum(1).max(), 1.0))
-    c = [1.0, -0.5, 0.25, 2.0, -1.0, 0.125, 0.5]
-    exact = mf.function_symmetric(a, lambda v: sum(x * v**k for k, x in enumerate(c)))
-    e = mf.function_symmetric(a, np.exp)
-    got = {m: (mf.polynomial(a, c, m), exact) for m in ("horner", "powers", "blocks")}
-    got |= {"exponential": (mf.exponential(a), e), "chebyshev": (mf.chebyshev(a, mf.chebyshev_coefficients(np.exp, 24, -1.5, 1.5), -1.5, 1.5), e)}
-    return spark.createDataFrame([(k, bool(np.abs(u - v).max() < 1e-9)) for k, (u, v) in got.items()], "method string, agrees boolean")
-
-
-@query("select * from (values ('annealing', true), ('conjugate gradient', true), ('nelder-mead', true), ('nested sampling', true), ('parallel tempering', true), ('powell', true), ('steepest descent', true)) t(method, found)")
-def optimiser_minima(spark, sf_dir):
-    """Every minimiser on a curved valley whose minimum is known."""
-    f = lambda x: (1 - x[0]) ** 2 + 4 * (x[1] - x[0] ** 2) ** 2
-    fg = lambda x: (f(x), np.array([-2 * (1 - x[0]) - 16 * x[0] * (x[1] - x[0] ** 2), 8 * (x[1] - x[0] ** 2)]))
-    x = np.array([-1.0, 1.5])
-    rng = np.random.default_rng(3)
-    got = {
-        "nelder-mead": optimizers.nelder_mead(f, optimizers.simplex_around(x)), "conjugate gradient": optimizers.conjugate_gradient(fg, x, 60), "steepest descent": optimizers.steepest_descent(fg, x, 400),
-        "powell": optimizers.powell(f, x), "annealing": optimizers.anneal(f, x, 1.0, 1e-7, 4000), "nested sampling": optimizers.nested_sampling(f, rng.uniform(-2, 2, (30, 2)), 1500),
-        "parallel tempering": optimizers.parallel_tempering(fg, x, np.geomspace(1e-6, 0.3, 5), 3000, 0.05),
-    }
-    return spark.createDataFrame([(k, bool(v < 1e-3 and np.abs(p - 1).max() < 0.1)) for k, (p, v) in got.items()], "method string, found boolean")
-
-
-@query("select * from (values ('bicubic', true), ('spline', true), ('spline slope', true)) t(table_of, close)")
-def interpolation_tables(spark, sf_dir):
-    knots = np.linspace(0, 2 * np.pi, 200)
-    x = np.linspace(1, 5, 57)
-    s = interpolation.Spline(knots, np.sin(knots))
-    g = np.linspace(-1, 1, 41)
-    b = interpolation.Bicubic(g, g, np.sin(g)[:, None] * np.cos(g)[None], np.cos(g)[:, None] * np.cos(g)[None], -np.sin(g)[:, None] * np.sin(g)[None])
-    z = np.linspace(-0.9, 0.9, 33)
-    errors = {"spline": np.abs(s(x) - np.sin(x)).max() < 1e-6, "spline slope": np.abs(s.slope(x) - np.cos(x)).max() < 1e-4, "bicubic": np.abs(b(z, z) - np.sin(z)[:, None] * np.cos(z)[None]).max() < 1e-5}
-    return spark.createDataFrame([(k, bool(v)) for k, v in errors.items()], "table_of string, close boolean")
-
-
 @query(P + "select i, j, round(hd, 6)::double d from p")
 def mds_similarity(spark, sf_dir):
     """Classical scaling of a similarity relation in as many dimensions as the points have gives the distances back."""
