@@ -121,6 +121,13 @@ def steps(table: DataFrame, x: str, y: str, series: str | None = None) -> DataFr
     return table.select(series, F.col(x).alias("x0"), end.alias("x1"), F.col(y).alias("height"))
 
 
+def centred(layout: DataFrame, column: str = "y") -> DataFrame:
+    """layout (id, y) about its mean."""
+    mean = layout.select(F.posexplode(column).alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"))
+    one = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda t: t["m"]).alias("__mean"))
+    return layout.crossJoin(F.broadcast(one)).withColumn(column, F.zip_with(column, "__mean", lambda a, b: a - b)).drop("__mean")
+
+
 def dataset(table: DataFrame, x: str, y: str, color: str | None = None, size: str | None = None) -> DataFrame:
     return table.select(F.col(x).alias("x"), F.col(y).alias("y"), *(F.col(c).alias(n) for c, n in ((color, "color"), (size, "size")) if c))
 

@@ -13,7 +13,8 @@ from vistamap.functions import generators, interpolation, tensors
 from vistamap.functions import matrix_functions as mf
 from vistamap.functions.metrics import Metric
 from vistamap.functions.transfer import Tabulated, Transfer
-from vistamap.operators import columns, embedding, landmarks, matrices, neighbors, optimizers, pairs, projection, series, stress, structures, surfaces
+from vistamap.operators import columns, embedding, histogram, landmarks, matrices, neighbors, optimizers, pairs, projection, series, stress, structures, surfaces
+from vistamap.operators.histogram import Axis
 from vistamap.operators.numbering import shared_path
 from vistamap.sources import definitions, matrix_text, options, text
 
@@ -116,8 +117,8 @@ def knn_compressed(spark, sf_dir):
 
 
 @query("""with r as (select o_orderkey frame, o_custkey % 7 point, row_number() over (order by o_orderkey) - 1 f from orders), c as (select point own, f cur from r where f = 100),
-n as (select point, f - cur off from r, c where f <> cur and f between cur - 12 and cur + 9 and point <> own), m as (select point, min((off < 0, abs(off))) a from n group by point)
-select case when a[1] then 'before' else 'after' end side, row_number() over (partition by a[1] order by a[2])::int place, point from m""".replace("min((off < 0, abs(off))) a", "min(case when off > 0 then off else 1000 - off end) a").replace("a[1]", "(a > 1000)").replace("order by a[2]", "order by a"))
+n as (select point, f - cur off from r, c where f <> cur and f between cur - 12 and cur + 9 and point <> own), m as (select point, min(case when off > 0 then off else 1000 - off end) a from n group by point)
+select case when a > 1000 then 'before' else 'after' end side, row_number() over (partition by a > 1000 order by a)::int place, point from m""")
 def frames_around(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("point"))
     return columns.around(landmarks.numbered(o, "o_orderkey", name="frame").select("frame", "point"), 100, 12, 9)
@@ -425,7 +426,7 @@ def tf_tabulated(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").mapInArrow(run, "l_orderkey long, l_linenumber int, f double")
 
 
-@query("select c_custkey, round(exp(-c_custkey % 9 * 1.0), 8)::double f from customer".replace("-c_custkey % 9 * 1.0", "-((c_custkey % 9) ** 2 / 2.0)"))
+@query("select c_custkey, round(exp(-((c_custkey % 9) ** 2 / 2.0)), 8)::double f from customer")
 def tf_by_parameters(spark, sf_dir):
     """Functions chosen by the number of their parameters: of two, gamma, whose case of two degrees is exp(-x^2 / 2)."""
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(Transfer.of((1.0, 2.0)).value((F.col("c_custkey") % 9).cast("double")), 8).alias("f"))
@@ -617,7 +618,7 @@ def layout_reader(spark, sf_dir):
     return got.select("id", r6(F.col("y")[0], "y1"), r6(F.col("y")[1], "y2"))
 
 
-@query(_STRIDE + ", t as (select rank, x[1:3] high, [y1, y2] low, w, lx.id from lx join e using (id, x)) select rank, list_transform(high, lambda v: round(v, 9)::double) high, list_transform(low, lambda v: round(v, 9)::double) low, w, 1.2::double sigma, 6.0::double a, 8.0::double b from t".replace("lx join e using (id, x)", "lx join e using (id)").replace("rank, x[1:3] high", "rank, e.x[1:3] high"))
+@query(_STRIDE + ", t as (select rank, e.x[1:3] high, [y1, y2] low, w, lx.id from lx join e using (id)) select rank, list_transform(high, lambda v: round(v, 9)::double) high, list_transform(low, lambda v: round(v, 9)::double) low, w, 1.2::double sigma, 6.0::double a, 8.0::double b from t")
 def definition_file(spark, sf_dir):
     """A projection's definition, written and read again."""
     p, marks = _strided(spark, sf_dir)
@@ -690,3 +691,51 @@ def metric_choice(spark, sf_dir):
     one = p.where("id = 7").select(F.col("x").alias("o"))
     d = p.crossJoin(F.broadcast(one)).select(Metric.of().column(F.col("x"), F.col("o")).alias("d"))
     return d.agg(r6(F.max("d"), "euclid"), F.round(F.sum("d"), 4).alias("total")).withColumn("nothing", F.lit(None).cast("double"))
+
+
+@query(_NODES.replace("e.id < 60", "e.id < 40") + " select id, printf('%.6e %.6e %.6e', round(arg_min(gx, stress), 6)::double + 0.0, round(arg_min(gy, stress), 6)::double + 0.0, round(min(stress), 6)::double) as value from t group by id")
+def projection_lines(spark, sf_dir):
+    """Projected points as a file has them, with their errors."""
+    p, marks = _marks(spark, sf_dir)
+    out = projection.project(p.where("id < 40"), marks, TERMS, width=0.6, coarse=11, fine=11)
+    rounded = out.select("id", F.transform("y", lambda v: F.round(v, 6) + F.lit(0.0)).alias("y"), r6("error", "error"))
+    return text.layout_lines(rounded, error=True, digits=6).select("id", "value")
+
+
+@query("""with e as (select vec_id id, embedding::double[] x from embeddings), a as (select id // 50 frame, id atom, [10 * x[1], 10 * x[2], 10 * x[3]] x from e), f as (select count(distinct frame) n from a),
+d as (select list_distance(a.x, b.x) d from a join a b on a.frame = b.frame and a.atom > b.atom) select floor(d / 2.5 * 10)::int bin, round(floor(d / 2.5 * 10) * 0.25, 9)::double low, count(*) pairs,
+round(count(*) / max(n) / (4 / 3.0::double * pi() * (pow(floor(d / 2.5 * 10) * 0.25 + 0.25, 3) - pow(floor(d / 2.5 * 10) * 0.25, 3))), 6)::double density from d, f where d < 2.5 group by floor(d / 2.5 * 10)""")
+def radial_distribution(spark, sf_dir):
+    x = F.transform(F.slice("x", 1, 3), lambda v: 10 * v)
+    atoms = points(spark, sf_dir).select(F.floor(F.col("id") / 50).alias("frame"), F.col("id").alias("atom"), x.alias("x"))
+    return structures.radial_distribution(atoms, 2.5, 10).select("bin", F.round("low", 9).alias("low"), "pairs", r6("density", "density"))
+
+
+@query("""with b as (select greatest(0, least(9, ceil(l_quantity * 10 / 50.0) - 1))::bigint i, greatest(0, least(6, l_linenumber - 1))::bigint j from lineitem), c as (select i + 10 * j place, count(*) n from b group by 1), p as (select range place from range(70))
+select place, coalesce(n, 0)::double as value from p left join c using (place)""")
+def value_hist_flat(spark, sf_dir):
+    """A histogram in two dimensions as one list."""
+    axes = [Axis(0.0, 50.0, 10), Axis(0.5, 7.5, 7)]
+    h = histogram.value_histogram_nd(table(spark, sf_dir, "lineitem"), [F.col("l_quantity"), F.col("l_linenumber")], axes)
+    return histogram.flat_nd(h, axes, "cnt")
+
+
+@query(P + "select mode, i, j, round(ld, 3)::double d from p, (values ('conjgrad'), ('simplex')) t(mode) where i < 4 and j < 4")
+def embed_plane(spark, sf_dir):
+    """Four points of a plane, embedded by stress from a disturbed start, keep their distances."""
+    p = points(spark, sf_dir, False).where("id < 4").withColumn("x", F.col("y"))
+    parts = []
+    for mode, steps in (("conjgrad", 400), ("simplex", 4000)):
+        y, _ = projection.embed(p, stress.Terms(), steps=steps, initial=p.select("id", "y"), randomize=0.02, mode=mode)
+        parts.append(pairs.pair_join(y.withColumn("x", F.col("y"))).select(F.lit(mode).alias("mode"), "i", "j", F.round("d", 3).alias("d")))
+    return parts[0].union(parts[1])
+
+
+@query("select c_custkey, round(4 * c_acctbal / 1000 / 3, 9)::double as value from customer where c_acctbal > 0")
+def stored_parameters(spark, sf_dir):
+    """Parameters kept as a block and read again, applied to a column."""
+    kept, warnings = definitions.read_parameters("scale { times 4 over 3 } # of a map\nunit 1000", {"scale", "unit"})
+    if warnings:
+        raise ValueError(str(warnings))
+    value = float(kept["scale"]["times"]) * F.col("c_acctbal") / float(kept["unit"]) / float(kept["scale"]["over"])
+    return table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", F.round(value, 9).alias("value"))

@@ -373,9 +373,7 @@ def point_error(spark, sf_dir):
 
 @query(E + ", m as (select avg(y1) m1, avg(y2) m2 from e) select id, round(y1 - m1, 6)::double y1, round(y2 - m2, 6)::double y2 from e, m")
 def center_layout(spark, sf_dir):
-    p = points(spark, sf_dir)
-    m = F.broadcast(p.agg(F.avg(F.col("y")[0]).alias("m1"), F.avg(F.col("y")[1]).alias("m2")))
-    return p.crossJoin(m).select("id", r6(F.col("y")[0] - F.col("m1"), "y1"), r6(F.col("y")[1] - F.col("m2"), "y2"))
+    return columns.centred(points(spark, sf_dir).select("id", "y")).select("id", r6(F.col("y")[0], "y1"), r6(F.col("y")[1], "y2"))
 
 
 @query(E + """, d as (select a.id i, b.id j, -0.5 * list_distance(a.x, b.x) ** 2 m from e a, e b), r as (select i, avg(m) r from d group by i), g as (select avg(r) g from r)
