@@ -8,13 +8,22 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and a worker.
+BATCH_BYTES = 2 << 20
+#: Bits of a key filter, in words of 64; the words are at most 1,048,576 rows.
+FILTER_BITS = 1 << 26
+#: Rows of a few numbers that a file of a work table holds: less isn't worth a task.
+ROWS_A_FILE = 200_000
 _own: dict[str, str] = {}
+_noted: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _noted:
+        _noted[-1].append(path)
+    return path
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Work folders that operators make inside the block go at its end. What is lazy has to be written inside it, to a path from outside."""
+    _noted.append([])
+    try:
+        yield
+    finally:
+        for path in _noted.pop():
+            removed(spark, path)
 
 
 def posix(path: str) -> str:
@@ -53,6 +76,70 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a work folder whose tables nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """A work folder for tables that go when the block ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, work_dir(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        removed(self.spark, self.path)
+
+    def saved(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """`rows`: how many narrow rows there are about, or would take as much room; keeps small tables in few files."""
+        self.n += 1
+        return saved(df if rows is None else fewer(df, rows), f"{self.path}/{name}-{self.n}")
+
+
+def fewer(df: DataFrame, rows: int) -> DataFrame:
+    """df in tasks of ROWS_A_FILE rows or more."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+class KeyFilter:
+    """A bitmap of the hashes of keys, for picking rows of a wide table before any of them is shuffled.
+
+    Its size is bounded whatever the number of keys, so it can be broadcast; with more keys it lets more other rows
+    through, and joins that follow stay exact. A null key is a key like others."""
+
+    def __init__(self, keys: DataFrame, scratch: Scratch):
+        """keys: one column."""
+        self.word, self.bits = (f"__{x}_{uuid.uuid4().hex}" for x in ("word", "bits"))  # no column of a split table has these names
+        words = keys.select(_bit(keys[keys.columns[0]]).alias("h")).select(F.shiftright("h", 6).alias(self.word), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+        self.words = scratch.saved(words.groupBy(self.word).agg(F.bit_or("bit").alias(self.bits)), "filter", FILTER_BITS // 64)
+
+    def split(self, df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+        """Rows whose key may be among the keys, and rows whose key is not."""
+        at = f"__at_{uuid.uuid4().hex}"
+        marked = df.withColumn(at, _bit(key))
+        marked = marked.join(F.broadcast(self.words), F.shiftright(at, 6) == F.col(self.word), "left")
+        maybe = F.coalesce(F.expr(f"(shiftrightunsigned({self.bits}, cast({at} & 63 as int)) & 1) = 1"), F.lit(False))
+        columns = [f"`{c}`" for c in df.columns]
+        return marked.where(maybe).select(*columns), marked.where(~maybe).select(*columns)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by bytes, as Spark's own bounds (10,000 rows, 64 MB) let a batch of long texts take
+    several hundred MB in an executor and as much in its worker. A lower bound of the session's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < given <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = KEY_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows whose texts together hold about `most` bytes; a longer text is a slice of its own."""
     values = batch.column(batch.schema.get_field_index(column))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import saved, work_dir
+from ._shared import Scratch
 
 
 def _largest(edges: DataFrame) -> DataFrame:
@@ -24,14 +24,14 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """node, component (smallest node that can be reached) for each node of edges (a long, b long).
-    Nulls and loops count for nothing."""
-    spark = edges.sparkSession
-    now = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), work_dir(spark, "cc"))
+    Nulls and loops count for nothing. The result is read from scratch."""
+    edges = scratch.saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    now, rows = edges, edges.count()
     sign = None
     for _ in range(rounds):
-        now = saved(_smallest(_largest(now)), work_dir(spark, "cc"))
+        now = scratch.saved(_smallest(_largest(now)), "cc", rows)
         row = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a", F.lit(1))).alias("s")).first()
         if sign == (row["n"], row["x"], row["s"]):
             break

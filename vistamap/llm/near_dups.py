@@ -1,7 +1,8 @@
 """Near-duplicate documents: MinHash, banding, sequential Bayesian verification, exact verification.
 
 1. A map over texts makes each document's shingle count, a 128-bit hash of its shingle set and its signature.
-   Documents with equal sets are one class, so copies cost one row from there on.
+   Documents with equal sets are one class, so copies cost one row from there on. Signatures and texts are wide; a bitmap of
+   keys picks those that are asked for before any is shuffled, and texts move compressed.
 2. Classes that share a band of their signatures are candidates. In each bucket every class is first compared with
    the smallest one only; components of the links found show which buckets are settled. In the others, classes outside the
    bucket's largest component are compared with all classes of other components, in tiles of bounded size that verify
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, saved, work_dir
+from ._shared import KeyFilter, Scratch, chunks, fewer, saved, small_batches, work_dir
 from ._text import U, grams, mix, words
 from .components import components
 
@@ -39,8 +40,8 @@ MISS = 1e-6
 TILE = 1024
 #: Texts of a tile that are cut into shingles at a time.
 SLICE = 64
-#: Ids that are broadcast at most, 8 bytes each.
-BROADCAST_IDS = 200_000
+#: Bytes of texts that are unpacked at a time.
+UNPACKED = 1 << 19
 SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, signature binary"
 _seeds = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, (2, HASHES), dtype=np.uint32)
 _FLIP, _TIMES = _seeds[0], _seeds[1] | np.uint32(1)
@@ -96,6 +97,21 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, text) with each text compressed, its length ahead of it."""
+    codec = pa.Codec("zstd", 3)
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            texts = [x.encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
+            out = [len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.large_binary()), pa.array([len(x) for x in texts], pa.int64())], ["cid", "packed", "size"])
+
+
+def text_of(packed: bytes, codec: pa.Codec) -> bytes:
+    size = int.from_bytes(packed[:8], "little")
+    return codec.decompress(packed[8:], size, asbytes=True) if size else b""
+
+
 def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h = band_hashes(unpacked(batch.column(1)))
@@ -146,8 +162,8 @@ def tiled(least: dict[int, int], n: int, percent: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         cid, signature = table["cid"].to_numpy(), unpacked(table["signature"])
-        texts = table["text"].combine_chunks()
-        parts = [distinct_grams(texts.slice(at, SLICE), n) for at in range(0, len(texts), SLICE)]
+        texts, codec = table["packed"].to_pylist(), pa.Codec("zstd")
+        parts = [distinct_grams(pa.array([text_of(x, codec) for x in texts[at : at + SLICE]], pa.binary()).cast(pa.large_string()), n) for at in range(0, len(texts), SLICE)]
         doc, h = np.concatenate([d + SLICE * k for k, (d, _) in enumerate(parts)]), np.concatenate([x for _, x in parts])
         cut = np.searchsorted(doc, np.arange(len(cid) + 1))
         size = np.diff(cut)
@@ -185,17 +201,21 @@ def tiled(least: dict[int, int], n: int, percent: int):
 
 
 def verifier(n: int, percent: int):
-    """Exact similarity of the two texts of each row."""
+    """Exact similarity of the two texts of each row (a, b, packed_a, packed_b, size_b, size_a)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         for batch in batches:
-            for part in chunks(batch, "text_b", 1 << 19):
+            at, size = 0, np.add(*(batch.column(c).to_numpy() for c in (4, 5))).cumsum()
+            while at < len(size):
+                to = max(at + 1, int(size.searchsorted((size[at - 1] if at else 0) + UNPACKED, "right")))
+                part, at = batch.slice(at, to - at), to
                 sets = []
                 for c in (2, 3):
                     same = part.column(c).dictionary_encode()
-                    doc, h = distinct_grams(same.dictionary, n)
-                    cut = np.searchsorted(doc, np.arange(len(same.dictionary) + 1))
-                    sets.append((same.indices.to_numpy(), h, cut))
+                    texts = pa.array([text_of(x, codec) for x in same.dictionary.to_pylist()], pa.binary()).cast(pa.large_string())
+                    doc, h = distinct_grams(texts, n)
+                    sets.append((same.indices.to_numpy(), h, np.searchsorted(doc, np.arange(len(texts) + 1))))
                 (ia, ha, ca), (ib, hb, cb) = sets
                 good = []
                 for i, j in zip(ia.tolist(), ib.tolist()):
@@ -211,29 +231,25 @@ def verifier(n: int, percent: int):
 
 
 class Linker:
-    """The steps on classes: `classes` has cid and signature, `texts` has doc_id and text of class representatives."""
+    """The steps on classes. `classes` has cid and signature, `texts` has doc_id and text."""
 
-    def __init__(self, classes: DataFrame, texts: DataFrame, shingle: int, percent: int):
-        self.classes, self.texts, self.shingle, self.percent = classes, texts, shingle, percent
-        self.spark = classes.sparkSession
+    def __init__(self, classes: DataFrame, n: int, texts: DataFrame, shingle: int, percent: int, scratch: Scratch):
+        """n: the number of classes."""
+        self.classes, self.n, self.texts, self.shingle, self.percent, self.scratch = classes, n, texts, shingle, percent, scratch
+        self.saved = scratch.saved
         self.least = least_matches(percent / 100)
         self.links: DataFrame | None = None
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds the links among pairs (a, b)."""
-        t = self.involved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
-        rows = pairs.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        found = saved(rows.select("a", "b", "text_a", "text_b").mapInArrow(verifier(self.shingle, self.percent), "a long, b long"), work_dir(self.spark, "links"))
+        side = lambda x: self.packed.select(F.col("cid").alias(x), F.col("packed").alias(f"packed_{x}"), F.col("size").alias(f"size_{x}"))
+        rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "packed_a", "packed_b", "size_a", "size_b")
+        found = self.saved(rows.mapInArrow(verifier(self.shingle, self.percent), "a long, b long"), "links", 10 * pairs.count())
         self.links = found if self.links is None else self.links.union(found)
 
-    def involved(self, ids: DataFrame) -> DataFrame:
-        """Texts of some classes. Up to BROADCAST_IDS of them are picked before any text is shuffled."""
-        ids = ids.distinct()
-        return self.texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else self.texts
-
     def labels(self) -> DataFrame:
         """node, component of every class that has a link."""
-        return saved(components(self.links), work_dir(self.spark, "labels"))
+        return self.saved(components(self.links, self.scratch), "labels", self.n)
 
     def open(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs whose ends are not in one component."""
@@ -244,29 +260,33 @@ class Linker:
     def settle(self, pairs: DataFrame) -> DataFrame:
         """Verifies survivors, the likeliest of each class first, the rest if still open; returns the labels."""
         best = pairs.groupBy("b").agg(F.max_by(F.struct("a"), F.struct(F.col("matches"), -F.col("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")
+        best = self.saved(best, "best", self.n)
         self.verify(best)
         labels = self.labels()
-        rest = saved(self.open(pairs, labels).join(best, ["a", "b"], "left_anti").select("a", "b"), work_dir(self.spark, "rest"))
+        rest = self.saved(self.open(pairs, labels).join(best, ["a", "b"], "left_anti").select("a", "b"), "rest", self.n)
         if rest.isEmpty():
             return labels
         self.verify(rest)
         return self.labels()
 
     def run(self) -> DataFrame:
-        c = self.classes.select("cid", "signature")
-        bands = saved(c.mapInArrow(banded, "bucket long, cid long"), work_dir(self.spark, "bands"))
+        bands = self.saved(self.classes.select("cid", "signature").mapInArrow(banded, "bucket long, cid long"), "bands", BANDS * self.n)
         shared = bands.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where(F.col("a") < F.col("z")).select("bucket", "a")
-        members = saved(bands.join(shared, "bucket"), work_dir(self.spark, "members"))
+        shared = self.saved(shared, "shared", BANDS * self.n)
+        members = KeyFilter(shared.select("bucket"), self.scratch).split(bands, F.col("bucket"))[0].join(shared, "bucket")
+        members = self.saved(members, "members", BANDS * self.n)
+        picked = KeyFilter(members.select("cid").distinct(), self.scratch)
+        self.signatures = self.saved(picked.split(self.classes, F.col("cid"))[0].select("cid", "signature"), "signatures", 40 * self.n)
+        self.packed = self.saved(picked.split(self.texts.select("doc_id", "text"), F.col("doc_id"))[0].mapInArrow(packed, "cid long, packed binary, size long"), "packed", 100 * self.n)
         stars = members.where(F.col("a") < F.col("cid")).select("a", F.col("cid").alias("b")).distinct()
-        sides = stars.join(c.select(F.col("cid").alias("b"), F.col("signature").alias("sb")), "b").join(c.select(F.col("cid").alias("a"), F.col("signature").alias("sa")), "a")
-        pairs = saved(sides.select("a", "b", "sa", "sb").mapInArrow(compared(self.least), "a long, b long, matches long"), work_dir(self.spark, "pairs"))
-        labels = self.settle(pairs)
+        side = lambda x: self.signatures.select(F.col("cid").alias(x), F.col("signature").alias(f"s{x}"))
+        pairs = stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+        labels = self.settle(self.saved(pairs.mapInArrow(compared(self.least), "a long, b long, matches long"), "pairs", 40 * self.n))
         rows = self.tiles(members, labels)
         if rows.isEmpty():
             return labels
-        texts = self.involved(rows.select(F.col("cid").alias("doc_id"))).select(F.col("doc_id").alias("cid"), "text")
-        full = rows.join(self.classes.select("cid", "signature"), "cid").join(texts, "cid").select(*rows.columns, "signature", "text")
-        found = saved(full.groupBy("bucket", "i", "j").applyInArrow(tiled(self.least, self.shingle, self.percent), "a long, b long"), work_dir(self.spark, "tiled"))
+        full = rows.join(self.signatures, "cid").join(self.packed.drop("size"), "cid").select(*rows.columns, "signature", "packed")
+        found = self.saved(full.groupBy("bucket", "i", "j").applyInArrow(tiled(self.least, self.shingle, self.percent), "a long, b long"), "tiled")
         if found.isEmpty():
             return labels
         self.links = self.links.union(found)
@@ -287,7 +307,24 @@ class Linker:
         down = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j")))
         rows = rows.withColumn("tile", F.explode(F.when(F.col("is_outer"), F.array_union(across, down)).otherwise(down))).withColumns({"i": F.col("tile.i"), "j": F.col("tile.j")})
         rows = rows.withColumns({"outer": F.col("is_outer") & (F.col("i") == F.col("own_i")), "resident": F.col("j") == F.col("own_j")})
-        return saved(rows.select("bucket", "i", "j", "cid", "comp", "is_outer", "outer", "resident"), work_dir(self.spark, "tiles"))
+        return self.saved(rows.select("bucket", "i", "j", "cid", "comp", "is_outer", "outer", "resident"), "tiles", BANDS * self.n)
+
+
+def representatives(sketch: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of n rows: classes (n_shingles, h1, h2, cid: the smallest doc_id), and cid with the signature, once for each class. Only rows of ids
+    are shuffled, and the signatures of copies."""
+    key = ["n_shingles", "h1", "h2"]
+    usable = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    rows = scratch.saved(usable.groupBy("doc_id", *key).agg(F.count("*").alias("times")), "ids", n)
+    classes = scratch.saved(rows.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.sum("times").alias("size")), "classes", n)
+    several = classes.where(F.col("size") > 1)
+    # each of these is no representative, or one that occurs as several rows
+    copies = scratch.saved(rows.join(several, key).where((F.col("doc_id") > F.col("cid")) | (F.col("times") > 1)).select("doc_id", *key, (F.col("doc_id") > F.col("cid")).alias("later")), "copies", n)
+    row = F.xxhash64("doc_id", *key)
+    maybe, alone = KeyFilter(copies.select(row.alias("row")), scratch).split(usable, row)
+    left = maybe.join(copies, ["doc_id", *key], "left").where(~F.coalesce("later", F.lit(False))).groupBy("doc_id", *key).agg(F.first("signature").alias("signature"))
+    left = scratch.saved(left.select(F.col("doc_id").alias("cid"), "signature"), "copied", 40 * n)
+    return classes.drop("size"), alone.select(F.col("doc_id").alias("cid"), "signature").union(left)
 
 
 def near_dups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -296,15 +333,15 @@ def near_dups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame
 
     Linked: 100 * |A n B| >= percent * |A u B| on sets of distinct `shingle`-word shingles."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sketch = saved(base.mapInArrow(sketcher(shingle), SKETCH), work_dir(spark, "sketches"))
-    usable = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = saved(
-        usable.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("cid"), F.first("signature").alias("signature")),
-        work_dir(spark, "classes"),
-    )
-    labels = Linker(classes, base.where(F.col("doc_id").isNotNull()), shingle, percent).run()
-    named = classes.select("n_shingles", "h1", "h2", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    out = sketch.drop("signature").join(named, ["n_shingles", "h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("cid", "doc_id").alias("class_id"))
+    with Scratch(spark, "near-dups") as scratch:
+        sketch = scratch.saved(base.mapInArrow(sketcher(shingle), SKETCH), "sketches")
+        n = sketch.count()
+        classes, signatures = representatives(sketch, n, scratch)
+        labels = Linker(signatures, classes.count(), base.where(F.col("doc_id").isNotNull()), shingle, percent, scratch).run()
+        named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        out = sketch.drop("signature").join(named, ["n_shingles", "h1", "h2"], "left")
+        component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+        out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("cid", "doc_id").alias("class_id"))
+        return saved(fewer(out, n), work_dir(spark, "near-dups"))
