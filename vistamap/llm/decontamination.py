@@ -12,8 +12,10 @@ joined with their values as they are, so that a verbatim copy has all windows of
 window of the same item matches at the same distance and all values of both are consistent.
 
 A document is contaminated by an item if consistent windows cover COVERED of the item's tokens, or all of a shorter item.
-Items of fewer than LEAST tokens can't be told from ordinary phrases and are not searched. An item all of whose windows are
-poor in words is found with its own values only.
+An item all of whose windows are poor in words is found with its own values only. Items of fewer than ALONE tokens, which are
+ordinary phrases, count where they stand on lines of their own.
+
+Of a document, only windows go on whose hash is in a bitmap of the benchmark's; its size is bounded whatever the benchmark's.
 
 Letter case is folded for A-Z and U+00C0 to U+00DE.
 
@@ -29,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, saved, work_dir
+from ._shared import Scratch, chunks, saved, small_batches, work_dir
 from ._text import U, mix, prefix, raw, spans
 
 WINDOW = 8
 COVERED = 13
 LEAST = 4
-#: Hashes of benchmark windows that are sent to every task as a filter, 8 bytes each; a larger benchmark is joined unfiltered.
-FILTER = 1_000_000
+ALONE = 3
+#: Bits of the bitmap of benchmark windows, a power of two: 8 MB for each worker and at most 1,048,576 words for the driver.
+FILTER_BITS = 1 << 26
 
 # Words for numbers and units in the languages of the corpus.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split()
@@ -114,6 +117,12 @@ class Canonical:
         lead, after = data[self.start], np.append(data, np.uint8(0))[self.start + 1]
         capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (after >= 0x80) & (after <= 0x9E))
         self.kind = np.where(number, 1, np.where(unit, 2, np.where(capital & ~opening, 3, 0))).astype(np.int8)
+        lines = np.concatenate([[0], np.cumsum(data == 10)])
+        self.begins, self.ends = ~same, np.append(~same[1:], True)[: len(same)]
+        if len(self.start) > 1:
+            apart = lines[self.start[1:]] > lines[self.end[:-1]]
+            self.begins[1:] |= apart
+            self.ends[:-1] |= apart
 
     def text(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
@@ -126,6 +135,8 @@ class Canonical:
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         k = np.flatnonzero(self.row[:n] == self.row[size - 1 :])
+        if size < ALONE:
+            k = k[self.begins[k] & self.ends[k + size - 1]]
         words = np.concatenate([[0], np.cumsum(kind == 0)])
         count = words[k + size] - words[k]
         own = (count * 2 >= size) & (count >= min(LEAST, size))
@@ -153,7 +164,7 @@ class Canonical:
 
 def windowed(sizes: list[int] | None, known, reach: int = 0):
     """Window rows of (doc, of, text). `sizes` None: a benchmark, each item with its own size, WINDOW at most.
-    `known`: broadcast of the sorted hashes to keep, or None. `reach`: tokens of the longest item; of a document, windows that
+    `known`: broadcast of the bitmap of hashes to keep, or None. `reach`: tokens of the longest item; of a document, windows that
     are not told by themselves are left out where no other window is as near as that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +175,7 @@ def windowed(sizes: list[int] | None, known, reach: int = 0):
                 tokens = np.diff(c.first)
                 rows: list[tuple] = []
                 doc, of = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for size in sizes if sizes is not None else sorted({min(WINDOW, int(t)) for t in tokens if t >= LEAST}):
+                for size in sizes if sizes is not None else sorted({min(WINDOW, int(t)) for t in tokens if t}):
                     found = {}
                     for mode in (PLAIN, NAMES, LITERAL):
                         k, h, own = c.windows(size, mode)
@@ -172,7 +183,8 @@ def windowed(sizes: list[int] | None, known, reach: int = 0):
                             on = np.minimum(tokens[c.row[k]], WINDOW) == size
                             k, h, own = k[on], h[on], own[on]
                         if keep is not None:
-                            on = _among(h, keep)
+                            at = h & U(len(keep) * 64 - 1)
+                            on = (keep[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1
                             k, h, own = k[on], h[on], own[on]
                         found[mode] = k, h, own
                     told = np.sort(np.concatenate([found[m][0][found[m][2]] for m in (PLAIN, NAMES)]))
@@ -190,21 +202,30 @@ def windowed(sizes: list[int] | None, known, reach: int = 0):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """doc, of (hash of the text), items (sorted ids), n_windows (matched windows) of each contaminated row of docs."""
+def bitmap(items: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits in words of 64: the low bits of the hashes of windows. Words are made by the cluster; a bounded number comes
+    to the driver."""
+    bit = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = items.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def find(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """doc, of (hash of the text), items (sorted ids), n_windows (matched windows) of each contaminated row of docs. Reads from
+    scratch."""
     spark = docs.sparkSession
     of = lambda df, k: df.where(F.col(text).isNotNull()).select(F.col(k).cast("long").alias("doc"), F.xxhash64(text).alias("of"), F.col(text).alias("text"))
-    items = saved(of(benchmark.where(F.col(item).isNotNull()), item).mapInArrow(windowed(None, None), WINDOWS), work_dir(spark, "items"))
+    items = scratch.saved(of(benchmark.where(F.col(item).isNotNull()), item).mapInArrow(windowed(None, None), WINDOWS), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    small = items.select("hash").distinct().limit(FILTER + 1).count() <= FILTER
-    known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64))) if small else None
+    known = spark.sparkContext.broadcast(bitmap(items))
     reach = items.agg(F.max("tokens")).first()[0] or 0
-    seen = of(docs, key).mapInArrow(windowed(sizes, known, reach), WINDOWS).drop("tokens")
-    seen = saved(seen, work_dir(spark, "windows")) if small else seen
+    seen = scratch.saved(of(docs, key).mapInArrow(windowed(sizes, known, reach), WINDOWS).drop("tokens"), "windows")
     there = items.select(F.col("doc").alias("item"), F.col("pos").alias("at"), "mode", "size", "hash", "template", F.col("slots").alias("values"), F.col("tokens").alias("length"), "own")
     shift = (F.col("pos") - F.col("at")).alias("shift")
     columns = ["doc", "of", "item", "length", "size", "mode", "at", shift, "own", "slots", "values"]
-    told = saved(seen.where("own").drop("own").join(there.where("own"), ["hash", "mode", "size", "template"]).select(*columns), work_dir(spark, "matches"))
+    told = scratch.saved(seen.where("own").drop("own").join(there.where("own"), ["hash", "mode", "size", "template"]).select(*columns), "matches")
     # where a window matches, those of its item that are not told by themselves are looked for at the same distance;
     # both sides grow with docs and are not broadcast
     places = told.where(F.col("mode") != LITERAL).select(F.col("doc").alias("d"), F.col("of").alias("o"), "item", "shift").distinct()
@@ -212,7 +233,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str =
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("of") == F.col("o")) & (F.col("pos") == F.col("at") + F.col("shift"))
     same = same & (F.col("mode") == F.col("m")) & (F.col("size") == F.col("z")) & (F.col("hash") == F.col("h")) & (F.col("template") == F.col("t"))
     led = seen.where(~F.col("own")).drop("own").join(awaited.hint("merge"), same).select(*(c if isinstance(c, str) else "shift" for c in columns))
-    met = saved(told.unionByName(led), work_dir(spark, "runs")).withColumn("pairs", F.zip_with("values", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    met = scratch.saved(told.unionByName(led), "runs").withColumn("pairs", F.zip_with("values", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     gathered = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
     whole = met.groupBy("doc", "of", "item", "mode", "shift").agg(gathered(F.when(F.col("own"), F.col("pairs"))).alias("told"), gathered("pairs").alias("all"))
 
@@ -235,7 +256,10 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """docs with contaminated boolean, items array<long> (empty if none) and n_windows long."""
-    found = saved(find(docs, benchmark, key, item, text).withColumnsRenamed({"doc": "__doc", "of": "__of"}), work_dir(docs.sparkSession, "contaminated"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    with Scratch(spark, "decontamination") as scratch:
+        found = saved(find(docs, benchmark, scratch, key, item, text).withColumnsRenamed({"doc": "__doc", "of": "__of"}), work_dir(spark, "contaminated"))
     kept = [c for c in docs.columns if c not in ("contaminated", "items", "n_windows")]
     base = docs.select(*kept).withColumn("__text", F.xxhash64(text))
     joined = base.join(found, base[key].cast("long").eqNullSafe(found["__doc"]) & (base["__text"] == found["__of"]), "left")
