@@ -6,10 +6,11 @@ suffixes at the same anchor have to be sorted against each other:
 
 1. Anchor hashes are counted, in packed sorted blocks as in ngram_lm; those that occur once are settled.
 2. For every occurrence of the others, the bytes of the windows that the anchor owns go to the shard of its hash. A map task
-   sends equal surroundings once, with their earliest place; what it saw later is marked there and then. Of anchors with
-   more than HOT occurrences, whose surroundings may differ without end, the windows are sent instead, each to the shard of its
-   own 128-bit hash and equal ones once a task: no shard gets more rows for an anchor than HOT or for a window than
-   map tasks send.
+   sends equal surroundings once, with their earliest place; what it saw later, and found equal byte by byte, is marked there and
+   then. An anchor with more than HOT occurrences, whose surroundings may differ without end, is split: its windows by
+   place into stretches, and each stretch by the bytes that all its windows share, which equal windows have in common.
+   Stretches of one window are left where that isn't enough, and of equal ones each task sends one. So no group that is
+   sorted has more than HOT * MILD rows, or than map tasks send; all of them are sorted and compared in the same way.
 3. A shard sorts, for each anchor, the suffixes that start at it, and likewise the reversed prefixes that end at it, by mergesort.
    Two suffixes are compared by their longest common extension: a binary search over prefix polynomial hashes. The common
    extensions of neighbours in the two orders then tell for each window which earlier window it equals. The bytes of all
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import anchors
-from ._shared import chunks, posix, work_dir
+from ._shared import chunks, posix, small_batches, work_dir
 from ._text import U, mix, powers, prefix, raw, spans
 from .ngram_lm import BLOCKS, Arrays, Pending, by_hash, gathered, merge, write_array
 
@@ -45,8 +46,9 @@ GATHERED = 12 << 20
 SORTED = 1 << 20
 #: Bytes of texts that a map task works on at a time.
 READ = 1 << 19
-#: Occurrences of an anchor up to which its contexts are sorted together.
-HOT = 5000
+#: Occurrences of an anchor up to which its contexts are sorted together; windows in a stretch of a more frequent one, and the
+#: times HOT up to which that will do.
+HOT, STRETCH, MILD = 5000, 7, 50
 #: Contexts (of two widths at most) that are hashed at a time.
 HASHED = 8192
 NULL_ID = np.iinfo(np.int64).min
@@ -178,8 +180,8 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray, bef
     return out
 
 
-def identity(doc_id: np.ndarray, text: np.ndarray) -> np.ndarray:
-    return mix(mix(doc_id.view(np.uint64)) + text)
+def shard_key(doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.view(np.uint64)) + text)
 
 
 def ids(column: pa.Array) -> np.ndarray:
@@ -191,8 +193,7 @@ def text_hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 CONTEXT = pa.schema([("hash", pa.uint64()), ("doc", pa.int64()), ("text", pa.uint64()), ("p", pa.int64()), ("before", pa.int16()), ("after", pa.int16()), ("bytes", pa.large_binary())])
-WINDOW = pa.schema([("h1", pa.uint64()), ("h2", pa.uint64()), ("doc", pa.int64()), ("text", pa.uint64()), ("start", pa.int64())])
-DECIDED = pa.schema([("who", pa.uint64()), ("from", pa.int64()), ("to", pa.int64())])
+DECIDED = pa.schema([("doc", pa.int64()), ("text", pa.uint64()), ("from", pa.int64()), ("to", pa.int64())])
 
 
 def packed(table: pa.Table) -> bytes:
@@ -212,55 +213,66 @@ def binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def first_of_equal(t: pa.Table) -> tuple[pa.Table, pa.Table]:
-    """Contexts with the earliest place of each (hash, surroundings); the rest."""
-    doc, p, text = t["doc"].to_numpy(), t["p"].to_numpy(), t["text"].to_numpy()
-    same = np.empty(len(t), np.uint64)
+def surroundings_hash(t: pa.Table) -> np.ndarray:
+    out = np.empty(len(t), np.uint64)
     for at in range(0, len(t), HASHED):  # prefix hashes take eight bytes for each byte
         part = t.slice(at, HASHED)
         data, cut = raw_bytes(part["bytes"])
-        same[at : at + HASHED] = mix(spans(prefix(data), cut[:-1], cut[1:]) + mix(part["hash"].to_numpy() + part["before"].to_numpy().astype(np.uint64)))
-    order = np.lexsort((p, text, doc, same))
-    first = np.r_[True, same[order][1:] != same[order][:-1]] if len(order) else np.zeros(0, bool)
-    lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]  # a repeated row is no earlier place of its own
-    later = (doc[order] != doc[lead]) | (text[order] != text[lead]) | (p[order] != p[lead])
-    return t.take(pa.array(np.sort(order[first]))), t.take(pa.array(order[later]))
+        out[at : at + HASHED] = mix(spans(prefix(data), cut[:-1], cut[1:]) + mix(part["hash"].to_numpy() + part["before"].to_numpy().astype(np.uint64)))
+    return out
 
 
-def windows(t: pa.Table, width: int) -> Iterator[pa.Table]:
-    """The windows that contexts own, by hashes of their halves, some contexts at a time."""
+def alike(t: pa.Table, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows x and y have the same anchor hash, place of the anchor and bytes."""
+    h, before = t["hash"].to_numpy(), t["before"].to_numpy()
+    data, cut = raw_bytes(t["bytes"])
+    size = np.diff(cut)
+    out = (h[x] == h[y]) & (before[x] == before[y]) & (size[x] == size[y])
+    for at in range(0, len(x), HASHED):
+        k = at + np.flatnonzero(out[at : at + HASHED])
+        if len(k):
+            one, first = ragged(data, cut[x[k]], size[x[k]])
+            other, _ = ragged(data, cut[y[k]], size[y[k]])
+            out[k] = np.add.reduceat((one != other).astype(np.int64), first[:-1]) == 0
+    return out
+
+
+def first_of_equal(t: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Contexts with the earliest place of each (hash, surroundings); the rest. Equal hashes only propose what is equal: the
+    rest is compared byte by byte, and what differs stays with the first."""
+    t = t.combine_chunks()
+    doc, p, text, same = t["doc"].to_numpy(), t["p"].to_numpy(), t["text"].to_numpy(), surroundings_hash(t)
+    order = np.lexsort((p, text, doc, same))
+    first = np.r_[True, same[order][1:] != same[order][:-1]] if len(order) else np.zeros(0, bool)
+    lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    equal = ~first
+    equal[equal] = alike(t, order[equal], lead[equal])
+    # a repeated row is no earlier place of its own
+    later = equal & ((doc[order] != doc[lead]) | (text[order] != text[lead]) | (p[order] != p[lead]))
+    return t.take(pa.array(np.sort(order[~equal]))), t.take(pa.array(order[later]))
+
+
+def stretched(t: pa.Table, width: int, size: np.ndarray) -> pa.Table:
+    """Contexts cut into stretches of `size` windows; the hash of each is that of its anchor, its place and the bytes that all
+    windows of such a stretch share."""
+    out = []
     for at in range(0, len(t), HASHED):
-        part = t.slice(at, HASHED)
+        part, step = t.slice(at, HASHED), size[at : at + HASHED]
         data, cut = raw_bytes(part["bytes"])
         before, after = part["before"].to_numpy().astype(np.int64), part["after"].to_numpy().astype(np.int64)
-        count = before + after + 1
+        count = before // step - -after // step + 1  # stretches are numbered from the anchor backwards
         of = np.repeat(np.arange(len(part)), count)
-        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        start, sums = cut[of] + step, prefix(data)
-        middle = start + width // 2
-        columns = [spans(sums, start, middle), spans(sums, middle, start + width), part["doc"].to_numpy()[of], part["text"].to_numpy()[of], (part["p"].to_numpy() - before)[of] + step]
-        yield first_window(pa.table(columns, schema=WINDOW))
-
-
-def first_window(t: pa.Table) -> pa.Table:
-    """Windows in order of their hashes and places, equal ones of one place once."""
-    columns = [c.to_numpy() for c in t.columns]
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
-    return pa.table([c[new] for c in columns], schema=WINDOW)
-
-
-def later_windows(t: pa.Table, width: int) -> tuple[pa.Table, pa.Table]:
-    """Of sorted windows, those with the earliest place; removed runs of the rest."""
-    h1, h2 = t["h1"].to_numpy(), t["h2"].to_numpy()
-    first = np.ones(len(t), bool)
-    first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    rest = t.filter(pa.array(~first))
-    start = rest["start"].to_numpy()
-    return t.filter(pa.array(first)), pa.table(list(joined(identity(rest["doc"].to_numpy(), rest["text"].to_numpy()), start, start + width)), schema=DECIDED)
+        number = (-after // step)[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        step, before, after = step[of], before[of], after[of]
+        lo, hi = np.maximum(-before, -(number + 1) * step + 1), np.minimum(after, -number * step)  # first and last window
+        anchor, sums = cut[of] + before, prefix(data)
+        # what the first and the last window of a whole stretch share
+        core = spans(sums, anchor - number * step, anchor - (number + 1) * step + 1 + width)
+        h = mix(part["hash"].to_numpy()[of] + mix(core + mix(number.astype(np.uint64) + U(1))))
+        pieces = binary(*ragged(data, anchor + lo, hi - lo + width))
+        columns = [h, part["doc"].to_numpy()[of], part["text"].to_numpy()[of], part["p"].to_numpy()[of], (-lo).astype(np.int16), hi.astype(np.int16), pieces]
+        out.append(pa.table(columns, schema=CONTEXT))
+    return pa.concat_tables(out) if out else CONTEXT.empty_table()
 
 
 def raw_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,12 +287,12 @@ def raw_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def decided(t: pa.Table, width: int) -> pa.Table:
     """Removed runs of contexts all of whose windows are repeated."""
     p, before, after = (t[c].to_numpy().astype(np.int64) for c in ("p", "before", "after"))
-    return pa.table([identity(t["doc"].to_numpy(), t["text"].to_numpy()), p - before, p + after + width], schema=DECIDED)
+    return pa.table([t["doc"], t["text"], pa.array(p - before), pa.array(p + after + width)], schema=DECIDED)
 
 
-def by_shard(t: pa.Table, column: str, shard_of: Callable, kind: str) -> Iterator[pa.RecordBatch]:
-    t = t.take(pa.array(np.argsort(t[column].to_numpy(), kind="stable")))
-    shard = shard_of(t[column].to_numpy())
+def by_shard(t: pa.Table, key: np.ndarray, shard_of: Callable, kind: str) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(key, kind="stable")
+    t, shard = t.take(pa.array(order)), shard_of(key[order])
     cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else []
     for a, b in zip(cut, [*cut[1:], len(shard)]):
         yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([kind]), pa.array([packed(t.slice(a, b - a))], pa.binary())], ["shard", "kind", "block"])
@@ -318,35 +330,39 @@ def sorted_out(t: pa.Table, width: int) -> Iterator[pa.Table]:
         row, begin = np.nonzero(edge == 1)
         _, end = np.nonzero(edge == -1)
         p = part["p"].to_numpy()[row] - (width - width // 2)
-        who = identity(part["doc"].to_numpy(), part["text"].to_numpy())
-        yield pa.table([who[row], p + begin, p + end - 1 + width], schema=DECIDED)
+        yield pa.table([part["doc"].to_numpy()[row], part["text"].to_numpy()[row], p + begin, p + end - 1 + width], schema=DECIDED)
         a = b
 
 
-def joined(who: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined(t: pa.Table) -> pa.Table:
     """Maximal runs of each document, in order."""
-    order = np.lexsort((begin, who))
-    who, begin, end = who[order], begin[order], end[order]
-    if not len(who):
-        return who, begin, end
-    change = np.r_[True, who[1:] != who[:-1]]
+    doc, text, begin, end = (c.to_numpy() for c in t.columns)
+    order = np.lexsort((begin, text, doc))
+    doc, text, begin, end = doc[order], text[order], begin[order], end[order]
+    if not len(doc):
+        return DECIDED.empty_table()
+    change = np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]
     number = np.cumsum(change)
     step = int(end.max()) + 1
     reach = np.maximum.accumulate(end + number * step) - number * step  # furthest end so far within the document
     fresh = change.copy()
     fresh[1:] |= begin[1:] > reach[:-1]
     first = np.flatnonzero(fresh)
-    return who[first], begin[first], np.maximum.reduceat(end, first)
+    return pa.table([doc[first], text[first], begin[first], np.maximum.reduceat(end, first)], schema=DECIDED)
+
+
+def runs_key(t: pa.Table) -> np.ndarray:
+    return shard_key(t["doc"].to_numpy(), t["text"].to_numpy())
 
 
 def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes left) and kept, the bytes left,
     for each row of docs (doc_id long, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     shards = max(4, int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     root = posix(work_dir(spark, "repeats"))
-    repeated, removed = Arrays(f"{root}/anchors", [0] * (shards + 1), ("key", "count")), Arrays(f"{root}/runs", [0] * (shards + 1), ("who", "from", "to"))
     shard_of = by_hash(shards)
 
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +379,13 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         os.makedirs(f"{root}/anchors", exist_ok=True)
         write_array(f"{root}/anchors/{key[0].as_py()}.count.npy", np.minimum(counts[counts > 1], 1 << 30).astype(np.int32))
         write_array(f"{root}/anchors/{key[0].as_py()}.key.npy", keys[counts > 1])
-        return pa.table([pa.array([int((counts > 1).sum())], pa.int64())], ["n"])
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([int((counts > 1).sum())], pa.int64())], ["shard", "n"])
+
+    def arrays(name: str, rows: list, *names: str) -> Arrays:
+        sizes = {r["shard"]: r["n"] for r in rows}
+        return Arrays(f"{root}/{name}", [sizes.get(i, 0) for i in range(shards)], names)
 
-    gathered(docs.mapInArrow(count_anchors, BLOCKS), merge_anchors, "n long", shards).agg(F.sum("n")).collect()
+    repeated = arrays("anchors", gathered(docs.mapInArrow(count_anchors, BLOCKS), merge_anchors, "shard int, n long", shards).collect(), "key", "count")
 
     def contexts(part: pa.RecordBatch) -> pa.Table:
         data, at = raw(part.column(1))
@@ -384,20 +404,23 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             t, later = first_of_equal(pa.concat_tables(held))
-            distinct, back = np.unique(t["hash"].to_numpy(), return_inverse=True)
-            hot = repeated.find(distinct, shard_of(distinct))[1][0][back] > HOT
-            yield from by_shard(t.filter(pa.array(~hot)), "hash", shard_of, "context")
             runs = [decided(later, width)]
+            distinct, back = np.unique(t["hash"].to_numpy(), return_inverse=True)
+            often = repeated.find(distinct, shard_of(distinct))[1][0][back]
+            hot = often > HOT
+            yield from by_shard(t.filter(pa.array(~hot)), t["hash"].to_numpy()[~hot], shard_of, "context")
             if hot.any():
-                firsts, more = later_windows(first_window(pa.concat_tables(windows(t.filter(pa.array(hot)), width))), width)
-                yield from by_shard(firsts, "h1", shard_of, "window")
-                runs.append(more)
-            yield from by_shard(pa.concat_tables(runs), "who", shard_of, "decided")
+                t, later = first_of_equal(stretched(t.filter(pa.array(hot)), width, np.where(often[hot] > HOT * MILD, 1, STRETCH)))
+                yield from by_shard(t, t["hash"].to_numpy(), shard_of, "context")
+                runs.append(decided(later, width))
+            runs = joined(pa.concat_tables(runs))
+            yield from by_shard(runs, runs_key(runs), shard_of, "decided")
 
         for batch in batches:
             for part in chunks(batch, "text", READ):
                 t, later = first_of_equal(contexts(part))
-                yield from by_shard(decided(later, width), "who", shard_of, "decided")
+                runs = joined(decided(later, width))
+                yield from by_shard(runs, runs_key(runs), shard_of, "decided")
                 held.append(t)
                 size += t.nbytes
                 if size > GATHERED:
@@ -407,34 +430,32 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
             yield from flush()
 
     def sort_shard(key: tuple, table: pa.Table) -> pa.Table:
-        _, runs = later_windows(first_window(unpacked(table, "window", WINDOW)), width)
-        got = pa.concat_tables([unpacked(table, "decided", DECIDED), runs, *sorted_out(unpacked(table, "context", CONTEXT), width)])
-        got = pa.table(list(joined(*(c.to_numpy() for c in got.columns))), schema=DECIDED)
-        out = list(by_shard(got, "who", shard_of, "decided"))
+        got = joined(pa.concat_tables([unpacked(table, "decided", DECIDED), *sorted_out(unpacked(table, "context", CONTEXT), width)]))
+        out = list(by_shard(got, runs_key(got), shard_of, "decided"))
         return pa.Table.from_batches(out) if out else pa.table([pa.array([], pa.int32()), pa.array([], pa.string()), pa.array([], pa.binary())], ["shard", "kind", "block"])
 
     def merge_runs(key: tuple, table: pa.Table) -> pa.Table:
-        got = joined(*(c.to_numpy() for c in unpacked(table, "decided", DECIDED).columns))
+        got = joined(unpacked(table, "decided", DECIDED))
         os.makedirs(f"{root}/runs", exist_ok=True)
-        for name, a in zip(("who", "from", "to"), got):
-            write_array(f"{root}/runs/{key[0].as_py()}.{name}.npy", a)
-        return pa.table([pa.array([len(got[0])], pa.int64())], ["n"])
+        for name in DECIDED.names:
+            write_array(f"{root}/runs/{key[0].as_py()}.{name}.npy", got[name].to_numpy())
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([len(got)], pa.int64())], ["shard", "n"])
 
     block = "shard int, kind string, block binary"
     runs = gathered(docs.mapInArrow(send, block), sort_shard, block, shards)
-    gathered(runs, merge_runs, "n long", shards).agg(F.sum("n")).collect()
+    removed = arrays("runs", gathered(runs, merge_runs, "shard int, n long", shards).collect(), *DECIDED.names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", READ):
                 data, at = raw(part.column(1))
-                who = identity(ids(part.column(0)), text_hash(data, at))
-                shard = shard_of(who)
+                doc, of = ids(part.column(0)), text_hash(data, at)
                 rows: list[tuple] = []
-                for i, (w, s) in enumerate(zip(who, shard.tolist())):
+                for i, s in enumerate(shard_of(shard_key(doc, of)).tolist()):
                     text = data[at[i] : at[i + 1]]
-                    known, begin, end = removed.shard(s)
-                    a, b = np.searchsorted(known, w), np.searchsorted(known, w, "right")
+                    known, texts, begin, end = removed.shard(s)
+                    a, b = np.searchsorted(known, doc[i]), np.searchsorted(known, doc[i], "right")
+                    a, b = a + np.searchsorted(texts[a:b], of[i]), a + np.searchsorted(texts[a:b], of[i], "right")
                     keep = np.concatenate([text[x:y] for x, y in zip([0, *end[a:b].tolist()], [*begin[a:b].tolist(), len(text)])]).tobytes() if b > a else text.tobytes()
                     rows.append((len(text), len(text) - len(keep), int(b - a), hashlib.sha256(keep).hexdigest(), keep))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
