@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._memo import Memo
-from ._shared import chunks, saved, work_dir
+from ._shared import chunks, saved, small_batches, work_dir
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -99,7 +99,7 @@ def placed(most_tokens: int, most_segments: int, most_loss: int):
     return run
 
 
-def pack(pieces: DataFrame, most_tokens: int = 2048, most_segments: int = 512, most_loss: int | None = None, group: int = ROWS_A_GROUP) -> DataFrame:
+def pack(pieces: DataFrame, most_tokens: int = 2048, most_segments: int = 1024, most_loss: int | None = None, group: int = ROWS_A_GROUP) -> DataFrame:
     """Places rows of PIECES, each within the limits on its own; adds sequence_id and offset."""
     groups = max(1, -(-pieces.count() // group))
     dealt = pieces.withColumn("deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
@@ -120,7 +120,7 @@ def by_turns(rows: DataFrame, roles: tuple[str, ...] = ("assistant",)) -> DataFr
     return rows.groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(ordered.alias("turns"))
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, kind: str = "words", end_id: int = 1, most_tokens: int = 2048, most_segments: int = 512, turns: str | None = None, most_loss: int | None = None) -> DataFrame:
+def pack_texts(docs: DataFrame, tokenizer: str, kind: str = "words", end_id: int = 1, most_tokens: int = 2048, most_segments: int = 1024, turns: str | None = None, most_loss: int | None = None) -> DataFrame:
     """Token ids of each text of docs (doc_id, text), then `end_id`, cut and packed. Every token of a text bears loss; with
     `turns`, the name of a column array<struct<text, loss: boolean>> that stands for the text, those of turns with loss only.
     No sequence has more than `most_loss` of them (at least 1; any number if None).
@@ -129,6 +129,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, kind: str = "words", end_id: int
     most_loss = most_tokens if most_loss is None else most_loss
     if most_loss < 1:
         raise ValueError(f"most_loss {most_loss}: a sequence has room for 1 token with loss at least")
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")) if turns is None else turned(docs, turns)
     pieces = saved(texts.mapInArrow(cut(tokenizer, kind, end_id, most_tokens, most_loss), PIECES), work_dir(docs.sparkSession, "pieces"))
     full = pieces.where(F.col("length") == most_tokens).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

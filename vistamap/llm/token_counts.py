@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._memo import Memo, version
-from ._shared import chunks, saved, work_dir
+from ._shared import chunks, saved, small_batches, work_dir
 
 CACHE = "digest string, tokens long"
 
@@ -50,6 +50,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, kind: str = "bytes
     `cache`: a folder that the cluster shares; this call appends to it. A run that is cut short appends nothing,
     and digests that two runs append at once have equal counts, so a reader may take either."""
     spark, of = docs.sparkSession, version(tokenizer)
+    small_batches(spark)
     keyed = docs.select("doc_id", "text", digest(F.col("text"), of).alias("digest"))
     known = cached(spark, cache)
     misses = keyed.select("digest", F.coalesce("text", F.lit("")).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
