@@ -17,6 +17,8 @@ from vistamap.functions.metrics import Metric
 from .numbering import numbered
 
 BLOCK = 1024
+#: Rows beyond which blocks are twice as large.
+LARGE = 500_000
 
 
 def points(df: DataFrame, id: str, x: str, w: Column | None = None) -> DataFrame:
@@ -32,7 +34,10 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 def self_tiles(df: DataFrame, function: Callable[[pa.Table, pa.Table, np.ndarray], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
     """function(a, b, on) for each tile; on[r, c] marks the pairs of rows of a and b that count, so that each unordered
     pair of different ids counts once."""
-    blocks = max(1, -(-df.count() // block))
+    n = df.count()
+    if n > LARGE:  # a row goes to as many tiles as there are blocks
+        block = 2 * block
+    blocks = max(1, -(-n // block))
     dealt = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = dealt.select(*df.columns, F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"))
     # new names of the same columns: a side whose columns are the other's own would lose them

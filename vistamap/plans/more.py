@@ -18,6 +18,7 @@ from vistamap.operators.histogram import Axis
 from vistamap.operators.numbering import shared_path
 from vistamap.sources import definitions, matrix_text, options, text
 
+from . import schedules
 from .queries import _BOTH, _KNN, _STRIDE, _SURFACE, FH, FL, FLS, HIGH, LOW, MIXED, SQL, TERMS, E, P, _marks, _matrix, _series, _strided, _surface, _text, points, query, r6, table
 
 
@@ -739,3 +740,20 @@ def stored_parameters(spark, sf_dir):
         raise ValueError(str(warnings))
     value = float(kept["scale"]["times"]) * F.col("c_acctbal") / float(kept["unit"]) / float(kept["scale"]["over"])
     return table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", F.round(value, 9).alias("value"))
+
+
+def _distances(y: DataFrame, name: str) -> DataFrame:
+    return pairs.pair_join(y.select("id", F.col("y").alias("x"))).select(F.lit(name).alias("run"), "i", "j", F.round("d", 3).alias("d"))
+
+
+@query(P + "select run, i, j, round(ld, 3)::double d from p, (values ('interactive'), ('refined'), ('scheduled')) t(run) where i < 14 and j < 14")
+def plane_schedules(spark, sf_dir):
+    """Whole runs on points of a plane, and one misplaced point that the grid puts right, keep the distances."""
+    p = points(spark, sf_dir, False).where("id < 14").withColumn("x", F.col("y"))
+    ids, x = embedding.gathered(p)
+    y, hd = x.copy(), Metric().matrix(x, x)
+    y[3] = -y[3] - 0.2
+    y = projection.refine_points(hd, y, np.ones(len(x)), stress.Terms(), 0.6, 21, 101, 2, 200)
+    one, _ = schedules.interactive(p, stress.Terms(), steps=40)
+    two, _ = schedules.scheduled(p, stress.Terms(), steps=40, rounds=3, moves=1, last=1)
+    return _distances(embedding.layout(spark, ids, y), "refined").union(_distances(one, "interactive")).union(_distances(two, "scheduled"))
