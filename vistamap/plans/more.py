@@ -190,6 +190,29 @@ def warped_distances(spark, sf_dir):
     return spark.createDataFrame(w).select("i", "j", r6("warped", "warped"), F.round("weight", 5).alias("weight"))
 
 
+def _leading(name: str, of: str) -> str:
+    """CTEs that end in `name` (v, a list): the eigenvector of a symmetric matrix (m, lists) in `of` that squaring it leaves."""
+    trace = "list_sum(list_transform(range(len({0})), lambda i: {0}[i + 1][i + 1]))"
+    return f"""{name}_p as (select 0 k, m from {of} union all select k + 1, list_transform(s, lambda r: list_transform(r, lambda v: v / {trace.format('s')})) from (
+ select k, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) s from {name}_p where k < 22) t),
+{name}_r as (select m[list_position(d, list_max(d))] r from (select m, list_transform(range(len(m)), lambda i: m[i + 1][i + 1]) d from {name}_p order by k desc limit 1) t),
+{name} as (select list_transform(r, lambda v: v / sqrt(list_dot_product(r, r))) v from {name}_r)"""
+
+
+_PLANE = f"""with recursive e as (select vec_id id, embedding::double[] x from embeddings), u as (select id, unnest(x) v, generate_subscripts(x, 1) k from e), a as (select k, avg(v) a from u group by k),
+c as (select k, list(v - a order by id) c from u join a using (k) group by k), o as (select list(c order by k) cols from c), m1 as (select list_transform(cols, lambda a: list_transform(cols, lambda b: list_dot_product(a, b))) m from o),
+{_leading('v1', 'm1')}, m2 as (select list_transform(range(len(m)), lambda i: list_transform(range(len(m)), lambda j: m[i + 1][j + 1] - list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) * v[i + 1] * v[j + 1])) m from m1, v1),
+{_leading('v2', 'm2')}, y as (select id, list_dot_product(x, v1.v) y1, list_dot_product(x, v2.v) y2 from e, v1, v2)
+select a.id i, b.id j, round(sqrt((a.y1 - b.y1) ** 2 + (a.y2 - b.y2) ** 2), 5)::double d from y a join y b on a.id > b.id"""
+
+
+@query(_PLANE)
+def mds_embed(spark, sf_dir):
+    """Distances in the plane of classical scaling, which signs and rotations don't touch: that of the two leading principal axes."""
+    y, _ = embedding.mds(points(spark, sf_dir))
+    return pairs.pair_join(y.withColumnRenamed("y", "x")).select("i", "j", F.round("d", 5).alias("d"))
+
+
 @query(P + "select i, j, round(ld, 6)::double d from p")
 def mds_plane(spark, sf_dir):
     """Points of a plane, embedded in two dimensions, keep their distances."""
@@ -757,3 +780,28 @@ def plane_schedules(spark, sf_dir):
     one, _ = schedules.interactive(p, stress.Terms(), steps=40)
     two, _ = schedules.scheduled(p, stress.Terms(), steps=40, rounds=3, moves=1, last=1)
     return _distances(embedding.layout(spark, ids, y), "refined").union(_distances(one, "interactive")).union(_distances(two, "scheduled"))
+
+
+_STAGED = _DRAWS.format(60).replace("with recursive g", "with recursive e as (select vec_id id, embedding::double[] x, 1.0::double + label w from embeddings), g") + """,
+l as (select list(x order by id) xs, list(w order by id) ws, count(*) n from e),
+f as (select 1 m, [id] centers, list_transform(xs, lambda x: list_distance(x, xs[id + 1])) least from (select (select floor(u * n)::bigint from u, n where k = 2) id, xs from l) t
+  union all
+  select m + 1, list_append(centers, far), list_transform(list_zip(least, list_transform(xs, lambda x: list_distance(x, xs[far + 1]))), lambda z: least(z[1], z[2]))
+  from (select m, centers, least, list_position(least, list_max(least)) - 1 far from f where m < (select floor(sqrt(9 * n)) from n)) t, l),
+c as (select arg_max(centers, m) centers from f), d as (select list_transform(xs, lambda x: list_transform(centers, lambda k: list_distance(x, xs[k + 1]))) d from l, c),
+p as (select list_transform(d, lambda r: list_position(r, list_min(r)) - 1) cells from d), q as (select list_transform(range(len(centers)), lambda k: list_sum(list_transform(list_filter(list_zip(cells, ws), lambda z: z[1] = k), lambda z: z[2]))) mass from c, p, l),
+s as (select 2 used, mass rest, []::bigint[] taken, []::bigint[] from_cell from q
+  union all
+  select case when len(members) = 0 then used + 1 else used + 2 end, case when len(members) = 0 then list_transform(list_zip(rest, range(len(rest))), lambda z: case when z[2] = c then 0 else z[1] end) else rest end,
+   case when len(members) = 0 then taken else list_append(taken, members[floor(again * len(members))::bigint + 1]) end, case when len(members) = 0 then from_cell else list_append(from_cell, c) end
+  from (select used, rest, taken, from_cell, c, (select u from u where k = t.used + 2) again, list_filter(range(n), lambda i: cells[i + 1] = c and not list_contains(taken, i)) members
+    from (select used, rest, taken, from_cell, least(len(rest) - 1, list_reduce(list_prepend({'s': 0.0::double, 'n': 0::bigint}, list_transform(rest, lambda v: {'s': v::double, 'n': 0::bigint})),
+        lambda a, b: {'s': a.s + b.s, 'n': a.n + (case when a.s + b.s <= target then 1 else 0 end)}).n) c
+      from (select used, rest, taken, from_cell, (select u from u where k = s.used + 1) * list_sum(rest) target from s where len(taken) < 9) t) t, p, l) t),
+z as (select taken, from_cell from s order by len(taken) desc, used desc limit 1), r as (select unnest(taken) id, unnest(from_cell) cell, generate_subscripts(taken, 1) - 1 rank from z)
+select rank::int rank, id::bigint id, round(mass[cell + 1] / sum(mass[cell + 1]) over (), 9)::double weight from r, q"""
+
+
+@query(_STAGED)
+def landmark_staged(spark, sf_dir):
+    return landmarks.staged(points(spark, sf_dir), 9).select("rank", "id", F.round("weight", 9).alias("weight"))

@@ -269,11 +269,6 @@ def landmark_minmax(spark, sf_dir):
     return landmarks.minmax(points(spark, sf_dir), 10).select("rank", "id", r6("distance", "distance"))
 
 
-@query()
-def landmark_staged(spark, sf_dir):
-    return landmarks.staged(points(spark, sf_dir), 30)
-
-
 _NEAR = _STRIDE + ", n as (select e.id, e.w, arg_min(rank, (list_distance(e.x, lx.x), rank)) rank, min(list_distance(e.x, lx.x)) distance from e, lx group by e.id, e.w)"
 
 
@@ -382,13 +377,6 @@ def mds_double_center(spark, sf_dir):
     return embedding.centred(points(spark, sf_dir)).select("i", "j", (F.round("m", 6) + F.lit(0.0)).alias("m"))
 
 
-@query()
-def mds_embed(spark, sf_dir):
-    """Distances in the layout, which signs and rotations don't touch."""
-    y, _ = embedding.mds(points(spark, sf_dir))
-    return pairs.pair_join(y.withColumnRenamed("y", "x")).select("i", "j", r6("d", "d"))
-
-
 @query()
 def lle_embed(spark, sf_dir):
     p = points(spark, sf_dir)
