@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import KeyFilter, Scratch, chunks, fewer, saved, small_batches, work_dir
+from ._shared import KeyFilter, Scratch, chunks, fewer, lean, saved, small_batches, work_dir
 from ._text import U, grams, mix, words
 from .components import components
 
@@ -244,7 +244,7 @@ class Linker:
         """Adds the links among pairs (a, b)."""
         side = lambda x: self.packed.select(F.col("cid").alias(x), F.col("packed").alias(f"packed_{x}"), F.col("size").alias(f"size_{x}"))
         rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "packed_a", "packed_b", "size_a", "size_b")
-        found = self.saved(rows.mapInArrow(verifier(self.shingle, self.percent), "a long, b long"), "links", 10 * pairs.count())
+        found = self.saved(rows.mapInArrow(lean(verifier(self.shingle, self.percent)), "a long, b long"), "links", 200 * pairs.count())
         self.links = found if self.links is None else self.links.union(found)
 
     def labels(self) -> DataFrame:
@@ -270,18 +270,18 @@ class Linker:
         return self.labels()
 
     def run(self) -> DataFrame:
-        bands = self.saved(self.classes.select("cid", "signature").mapInArrow(banded, "bucket long, cid long"), "bands", BANDS * self.n)
+        bands = self.saved(self.classes.select("cid", "signature").mapInArrow(lean(banded), "bucket long, cid long"), "bands", BANDS * self.n)
         shared = bands.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where(F.col("a") < F.col("z")).select("bucket", "a")
         shared = self.saved(shared, "shared", BANDS * self.n)
         members = KeyFilter(shared.select("bucket"), self.scratch).split(bands, F.col("bucket"))[0].join(shared, "bucket")
         members = self.saved(members, "members", BANDS * self.n)
         picked = KeyFilter(members.select("cid").distinct(), self.scratch)
         self.signatures = self.saved(picked.split(self.classes, F.col("cid"))[0].select("cid", "signature"), "signatures", 40 * self.n)
-        self.packed = self.saved(picked.split(self.texts.select("doc_id", "text"), F.col("doc_id"))[0].mapInArrow(packed, "cid long, packed binary, size long"), "packed", 100 * self.n)
+        self.packed = self.saved(picked.split(self.texts.select("doc_id", "text"), F.col("doc_id"))[0].mapInArrow(lean(packed), "cid long, packed binary, size long"), "packed", 100 * self.n)
         stars = members.where(F.col("a") < F.col("cid")).select("a", F.col("cid").alias("b")).distinct()
         side = lambda x: self.signatures.select(F.col("cid").alias(x), F.col("signature").alias(f"s{x}"))
         pairs = stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
-        labels = self.settle(self.saved(pairs.mapInArrow(compared(self.least), "a long, b long, matches long"), "pairs", 40 * self.n))
+        labels = self.settle(self.saved(pairs.mapInArrow(lean(compared(self.least)), "a long, b long, matches long"), "pairs", 40 * self.n))
         rows = self.tiles(members, labels)
         if rows.isEmpty():
             return labels
@@ -336,7 +336,7 @@ def near_dups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame
     small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     with Scratch(spark, "near-dups") as scratch:
-        sketch = scratch.saved(base.mapInArrow(sketcher(shingle), SKETCH), "sketches")
+        sketch = scratch.saved(base.mapInArrow(lean(sketcher(shingle)), SKETCH), "sketches")
         n = sketch.count()
         classes, signatures = representatives(sketch, n, scratch)
         labels = Linker(signatures, classes.count(), base.where(F.col("doc_id").isNotNull()), shingle, percent, scratch).run()
@@ -345,3 +345,17 @@ def near_dups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame
         component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
         out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("cid", "doc_id").alias("class_id"))
         return saved(fewer(out, n), work_dir(spark, "near-dups"))
+
+
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same over DuckDB's `documents`, for three words and 85 %: all pairs that share a shingle. For small tables.
+SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) end g from d),
+n as (select doc_id, len(g) n from s), x as (select doc_id, unnest(g) g from s),
+p as (select a.doc_id a, b.doc_id b, count(*) c from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)), e as (select a, b from l union all select b, a from l),
+r as (select doc_id a, doc_id b from n union select r.a, e.b from r join e on r.b = e.a), m as (select a doc_id, min(b) component_id from r group by 1),
+k as (select g, min(doc_id) class_id from s where len(g) > 0 group by g)
+select s.doc_id, len(s.g)::bigint n_shingles, component_id, s.doc_id = component_id kept, coalesce(class_id, s.doc_id) class_id from s join m using (doc_id) left join k on k.g = s.g
+"""
