@@ -31,9 +31,9 @@ THRESHOLD = 0.72
 WIDTH = 2.719
 GROWTH = 1.25
 #: Numbers in a block of vectors (rows times dimensions) and in a chunk of queries at most; vectors in a block at least, where
-#: there are more cores than blocks.
+#: there are fewer than TILES blocks for each core.
 BLOCK = CHUNK = 1 << 20
-LEAST = 4096
+LEAST, TILES = 2048, 3
 #: Different lengths of vectors at most: the grid of tiles has a row for each and is broadcast.
 LENGTHS = 10_000
 
@@ -143,7 +143,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_
     if rows.select("dim").distinct().limit(LENGTHS + 1).count() > LENGTHS:
         raise ValueError(f"more than {LENGTHS} different vector lengths")
     fit = lambda numbers: F.greatest(F.lit(16), F.floor(F.lit(numbers) / F.col("dim")))
-    size = F.least(fit(BLOCK), F.greatest(F.lit(LEAST), F.ceil(F.col("n") / spark.sparkContext.defaultParallelism)))
+    size = F.least(fit(BLOCK), F.greatest(F.lit(LEAST), F.ceil(F.col("n") / (TILES * spark.sparkContext.defaultParallelism))))
     grid = count(rows, "n").join(count(asked, "q"), "dim").select("dim", F.ceil(F.col("n") / size).cast("int").alias("blocks"), F.ceil(F.col("q") / fit(CHUNK)).cast("int").alias("chunks"))
     grid = F.broadcast(grid)
     place = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
