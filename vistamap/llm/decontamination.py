@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, chunks, saved, small_batches, work_dir
+from ._shared import Scratch, chunks, lean, saved, small_batches, work_dir
 from ._text import U, mix, prefix, raw, spans
 
 WINDOW = 8
@@ -217,11 +217,11 @@ def find(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str = "do
     scratch."""
     spark = docs.sparkSession
     of = lambda df, k: df.where(F.col(text).isNotNull()).select(F.col(k).cast("long").alias("doc"), F.xxhash64(text).alias("of"), F.col(text).alias("text"))
-    items = scratch.saved(of(benchmark.where(F.col(item).isNotNull()), item).mapInArrow(windowed(None, None), WINDOWS), "items")
+    items = scratch.saved(of(benchmark.where(F.col(item).isNotNull()), item).mapInArrow(lean(windowed(None, None)), WINDOWS), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     known = spark.sparkContext.broadcast(bitmap(items))
     reach = items.agg(F.max("tokens")).first()[0] or 0
-    seen = scratch.saved(of(docs, key).mapInArrow(windowed(sizes, known, reach), WINDOWS).drop("tokens"), "windows")
+    seen = scratch.saved(of(docs, key).mapInArrow(lean(windowed(sizes, known, reach)), WINDOWS).drop("tokens"), "windows")
     there = items.select(F.col("doc").alias("item"), F.col("pos").alias("at"), "mode", "size", "hash", "template", F.col("slots").alias("values"), F.col("tokens").alias("length"), "own")
     shift = (F.col("pos") - F.col("at")).alias("shift")
     columns = ["doc", "of", "item", "length", "size", "mode", "at", shift, "own", "slots", "values"]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._shared import chunks, small_batches
+from ._shared import chunks, lean, small_batches
 from ._text import U, mix
 
 DIMENSIONS = 1024
@@ -176,7 +176,7 @@ def learn(labelled: DataFrame, text: str, label: str, key: str, dimensions: int
         for k, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * dimensions), pa.array(np.arange(dimensions), pa.int32()), pa.array(v, pa.int64())], ["label", "i", "v"])
 
-    summed = sample.mapInArrow(part, "label string, i int, v long").groupBy("label", "i").agg(F.sum("v").alias("v")).toPandas()
+    summed = sample.mapInArrow(lean(part), "label string, i int, v long").groupBy("label", "i").agg(F.sum("v").alias("v")).toPandas()
     out = {}
     for k, rows in summed.groupby("label"):
         v = np.zeros(dimensions)
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                 said = [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(said, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

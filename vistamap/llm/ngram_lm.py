@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, posix, small_batches, work_dir
+from ._shared import chunks, lean, posix, small_batches, work_dir
 from ._text import mix, words
 
 #: Bytes of packed n-grams that a shard is meant to hold.
@@ -336,7 +336,7 @@ def train(docs: DataFrame, shards: int | None = None, order: int = ORDER) -> Mod
         files(1, key[0].as_py(), key=keys, count=counts)
         return made(key[0].as_py(), counts)
 
-    rows = gathered(docs.mapInArrow(count_words, BLOCKS), merge_words, MADE, shards).collect()
+    rows = gathered(docs.mapInArrow(lean(count_words), BLOCKS), merge_words, MADE, shards).collect()
     model = Model(root, {"order": order, "shards": shards, "train_tokens": sum(r["total"] for r in rows), "sizes": {1: lengths(rows)}, "discounts": {}})
     about = model.about
 
@@ -370,7 +370,7 @@ def train(docs: DataFrame, shards: int | None = None, order: int = ORDER) -> Mod
     for k in range(2, order + 1):
         if model.types(k - 1) >= 1 << 32:
             raise ValueError(f"more than 2**32 distinct grams of {k - 1} words: widen the packed keys")
-        rows = gathered(docs.mapInArrow(count_grams(k), BLOCKS), merge_grams(k), MADE, shards).collect()
+        rows = gathered(docs.mapInArrow(lean(count_grams(k)), BLOCKS), merge_grams(k), MADE, shards).collect()
         about["sizes"][k] = lengths(rows)
         about["discounts"][k] = discounts([sum(r[f"n{x}"] for r in rows) for x in (1, 2, 3, 4)])  # of the order; others below
 
@@ -389,7 +389,7 @@ def train(docs: DataFrame, shards: int | None = None, order: int = ORDER) -> Mod
                     yield from rows_of([(shard, b"")])  # every shard gets its files
                     yield from rows_of(function(shard))
 
-        return spark.range(0, shards, 1, min(shards, 4096)).select(F.col("id").cast("int")).mapInArrow(run, BLOCKS)
+        return spark.range(0, shards, 1, min(shards, 4096)).select(F.col("id").cast("int")).mapInArrow(lean(run), BLOCKS)
 
     def placed(k: int, ids: np.ndarray) -> np.ndarray:
         """Shards of grams of length k; the start mark, 0, has one of its own."""
@@ -502,7 +502,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 columns = [*part.columns[: len(keep)], pa.array(sums[0]), pa.array(sums[1]), pa.array(np.full(len(part), n, np.int64)), pa.array(sums[2]), pa.array(sums[3])]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(lean(run), schema)
 
 
 def perplexity(score_: Column, n_tokens: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._memo import Memo
-from ._shared import chunks, saved, small_batches, work_dir
+from ._shared import chunks, lean, saved, small_batches, work_dir
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -131,7 +131,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, kind: str = "words", end_id: int
         raise ValueError(f"most_loss {most_loss}: a sequence has room for 1 token with loss at least")
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")) if turns is None else turned(docs, turns)
-    pieces = saved(texts.mapInArrow(cut(tokenizer, kind, end_id, most_tokens, most_loss), PIECES), work_dir(docs.sparkSession, "pieces"))
+    pieces = saved(texts.mapInArrow(lean(cut(tokenizer, kind, end_id, most_tokens, most_loss)), PIECES), work_dir(docs.sparkSession, "pieces"))
     full = pieces.where(F.col("length") == most_tokens).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     packed = pack(pieces.where(F.col("length") < most_tokens), most_tokens, most_segments, most_loss)
     return full.unionByName(packed).drop("loss")

@@ -13,10 +13,12 @@ from .html_extraction import main_text
 from .language_id import language_id
 from .line_dedup import SQL as LINE_DEDUP_SQL
 from .line_dedup import line_dedup
+from .near_dups import SQL as NEAR_DUPS_SQL
 from .near_dups import near_dups
 from .nearest import nearest
 from .ngram_lm import score_held_out
 from .packing import pack_texts
+from .repeated_spans import SQL as REPEATED_SPANS_SQL
 from .repeated_spans import repeated_spans
 from .token_counts import token_counts
 
@@ -81,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP_SQL}
+    return {"op2_line_dedup": LINE_DEDUP_SQL, "op7_near_dups": NEAR_DUPS_SQL, "op10_repeated_spans": REPEATED_SPANS_SQL}

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import anchors
-from ._shared import chunks, posix, small_batches, work_dir
+from ._shared import chunks, lean, posix, small_batches, work_dir
 from ._text import U, mix, powers, prefix, raw, spans
 from .ngram_lm import BLOCKS, Arrays, Pending, by_hash, gathered, merge, write_array
 
@@ -385,7 +385,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         sizes = {r["shard"]: r["n"] for r in rows}
         return Arrays(f"{root}/{name}", [sizes.get(i, 0) for i in range(shards)], names)
 
-    repeated = arrays("anchors", gathered(docs.mapInArrow(count_anchors, BLOCKS), merge_anchors, "shard int, n long", shards).collect(), "key", "count")
+    repeated = arrays("anchors", gathered(docs.mapInArrow(lean(count_anchors), BLOCKS), merge_anchors, "shard int, n long", shards).collect(), "key", "count")
 
     def contexts(part: pa.RecordBatch) -> pa.Table:
         data, at = raw(part.column(1))
@@ -442,7 +442,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([len(got)], pa.int64())], ["shard", "n"])
 
     block = "shard int, kind string, block binary"
-    runs = gathered(docs.mapInArrow(send, block), sort_shard, block, shards)
+    runs = gathered(docs.mapInArrow(lean(send), block), sort_shard, block, shards)
     removed = arrays("runs", gathered(runs, merge_runs, "shard int, n long", shards).collect(), *DECIDED.names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,4 +462,17 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.mapInArrow(lean(apply), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+#: The same over DuckDB's `documents`: every string of 100 bytes, as hexadecimal digits. For small tables.
+SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents), w as (select doc_id, unnest(range(length(h) // 2 - 99)) p, h from d where length(h) >= 200),
+s as (select doc_id, p, substring(h, 2 * p + 1, 200) t from w), f as (select t, min((doc_id, p)) first, count(*) c from s group by t having count(*) > 1),
+r as (select doc_id, p from s join f using (t) where (s.doc_id, s.p) <> f.first), o as (select *, lag(p) over (partition by doc_id order by p) before from r),
+i as (select *, sum((before is null or p > before + 100)::int) over (partition by doc_id order by p) run from o),
+j as (select doc_id, run, min(p) a, max(p) + 100 b from i group by 1, 2),
+k as (select *, lag(b, 1, 0) over (partition by doc_id order by a) kept_from from j),
+g as (select doc_id, sum(b - a) removed, count(*) n, string_agg(substring(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' order by a) || substring(any_value(h), 2 * max(b) + 1) left_ from k join d using (doc_id) group by doc_id)
+select doc_id, length(h) // 2 n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(n, 0)::bigint n_spans, sha256(unhex(coalesce(left_, h))) kept_sha256 from d left join g using (doc_id)
+"""

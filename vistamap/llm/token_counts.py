@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._memo import Memo, version
-from ._shared import chunks, saved, small_batches, work_dir
+from ._shared import chunks, lean, saved, small_batches, work_dir
 
 CACHE = "digest string, tokens long"
 
@@ -56,7 +56,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, kind: str = "bytes
     misses = keyed.select("digest", F.coalesce("text", F.lit("")).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
     if known is not None:
         misses = misses.join(known, "digest", "left_anti")
-    misses.mapInArrow(encoder(tokenizer, kind), CACHE).write.mode("append").parquet(cache)
+    misses.mapInArrow(lean(encoder(tokenizer, kind)), CACHE).write.mode("append").parquet(cache)
     # a plain table on this side lets the rows of a frequent text be split over tasks
     counts = saved(cached(spark, cache), work_dir(spark, "counts"))
     return (
