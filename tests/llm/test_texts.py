@@ -2,7 +2,12 @@
 
 import collections
 import hashlib
+import io
 import math
+import os
+import random
+import tracemalloc
+import unicodedata
 import zlib
 
 import numpy as np
@@ -11,6 +16,7 @@ import pytest
 from fixtures import DOCS, documents, prose, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vistamap.llm import language_id, line_dedup, ngram_lm, packing, repeated_spans, token_counts
@@ -53,7 +59,8 @@ def test_memo_gives_what_whole_texts_give(memo, texts):
 def test_token_counts(spark, docs, empty, tmp_path):
     cache = str(tmp_path / "cache")
     for _ in range(2):  # the second time all is in the cache
-        got = token_counts.token_counts(docs, cache, tokenizer_path(BYTES)).collect()
+        # other columns have names that are used inside
+        got = token_counts.token_counts(docs.withColumnsRenamed({"lang": "digest", "source": "tokens", "n_chars": "n_bytes"}), cache, tokenizer_path(BYTES)).collect()
         rows = documents()
         expected = collections.Counter((r[0], len((r[1] or "").encode()), len(ids), len(ids) > 512) for r, ids in zip(rows, whole(BYTES, [r[1] for r in rows])))
         assert collections.Counter(map(tuple, got)) == expected
@@ -63,8 +70,11 @@ def test_token_counts(spark, docs, empty, tmp_path):
 
 
 def test_packing(docs, empty):
-    got = packing.pack_texts(docs.where("doc_id <> 3"), tokenizer_path(WORDS)).collect()
-    rows = {r[0]: r[1] for r in documents() if r[0] is not None and r[0] != 3}
+    # one of the rows without an id is empty, the other is not; other columns have names that are used inside
+    frame = docs.where("doc_id <> 3 or doc_id is null and text is not null").withColumnsRenamed({"lang": "length", "source": "deal", "n_chars": "loss"})
+    got = packing.pack_texts(frame, tokenizer_path(WORDS)).collect()
+    rows = {r[0]: r[1] for r in documents() if r[0] != 3 and (r[0] is not None or r[1] is not None)}
+    assert None in rows
     ids = {k: np.array(x + [1], "<u4") for k, x in zip(rows, whole(WORDS, rows.values()))}
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
@@ -82,6 +92,13 @@ def test_packing(docs, empty):
     assert packing.pack_texts(empty, tokenizer_path(WORDS)).count() == 0
 
 
+def test_packing_of_short_texts(spark):
+    """The limit of segments leaves no room among texts of a few words."""
+    frame = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the "), F.col("id").cast("int") % 5).alias("text"))
+    used = packing.pack_texts(frame, tokenizer_path(WORDS)).groupBy("sequence_id").agg(F.sum("length").alias("n")).toArrow()["n"].to_pylist()
+    assert sum(used) == 6000 * 3 and len(used) <= -(-sum(used) // 2048) + 2
+
+
 def test_packing_limits_tokens_with_loss(spark):
     talks = {c: [(t, ("user", "assistant", None)[t % 3], prose(10 * c + t, 5 + 29 * ((c + t) % 7))) for t in range(c % 6 + 1)] for c in range(40)}
     rows = [(c, *x) for c, v in talks.items() for x in v] + [(99, 0, "assistant", None)]
@@ -166,42 +183,141 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in language_id.predict(spark.createDataFrame([(1, "the")], "doc_id long, text string"), {}).collect()} == {"und"}
 
 
-def test_hyperdimensional_bundle_is_the_sum_of_bound_trigrams():
-    p = language_id.Profiles(64)
-    v = {c: p.vectors[p.classes[ord(c)]].astype(int) for c in "abé"} | {"_": p.vectors[0].astype(int)}
-    expected = sum(np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in ("_ab", "aba", "ba_", "_é_"))
-    assert p.bundle(["x", "ABA 1é!"])[1].tolist() == expected.tolist()
+def bundled_by_force(text, dimensions, seed=7):
+    vector = {c: language_id.letters(np.array([ord(c) if c else 0]), dimensions, seed)[0].astype(int) for c in {*text.lower(), ""}}
+    low = ["", *(c if unicodedata.category(c)[0] == "L" else "" for c in text.lower()), ""]
+    out = np.zeros(dimensions, int)
+    for a, b, c in zip(low, low[1:], low[2:]):
+        if b:
+            out += np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c]
+    return out
 
 
-def test_language_model(spark, docs, empty):
-    got = ngram_lm.score_held_out(docs.where("doc_id is not null")).collect()
+@pytest.mark.parametrize("piece", [5, 1 << 20])
+def test_hyperdimensional_bundle_is_the_sum_of_bound_trigrams(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    monkeypatch.setattr(language_id, "COLUMNS", 16)
+    monkeypatch.setattr(language_id, "ROWS", 3)
+    r = random.Random(1)
+    texts = ["x", "ABA 1é!", "", "日本語 ελληνικά Русский", prose(3, 80), "".join(r.choice("abcdefghijklmnop ") for _ in range(400)), "a" * 23, "İΣ\ud800", "ab " * 11]
+    got = language_id.Profiles(70).bundle(texts)
+    assert got.tolist() == [bundled_by_force(t, 70).tolist() for t in texts]
+    v = language_id.letters(np.arange(3000), 1024, 7).astype(int)
+    assert np.abs((v @ v.T)[~np.eye(3000, dtype=bool)]).max() < 250 and (v @ v.T).diagonal().min() == 1024
+
+
+def test_language_id_is_the_nearest_prototype(spark):
+    """Learning and prediction against sums by hand; scripts are told apart letter by letter; columns with the names used inside."""
+    scripts = {"el": "και το να είναι με για στην από αυτό", "ru": "что это как все она так его только", "uk": "що це як всі вона так його тільки її"}
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choices(scripts[k].split(), k=4 + i % 9)) if k in scripts else prose(i, 4 + i % 9, k), k) for i in range(240) for k in [[*scripts, "en", "fr"][i % 5]]]
+    frame = spark.createDataFrame([(*x, 1, "y", 0.5, "z", 9) for x in rows], "doc_id long, text string, lang string, label int, draw string, score double, lang_pred string, held_out int")
+    learned = {k: sum(bundled_by_force(t, 1024) for d, t, x in rows if x == k and zlib.crc32(str(d).encode()) % 5) for *_, k in rows}
+    got = {x.doc_id: x for x in language_id.language_id(frame).collect()}
+    for d, t, k in rows:
+        v = bundled_by_force(t, 1024)
+        cosine = {x: float(v @ y / np.linalg.norm(v) / np.linalg.norm(y)) for x, y in learned.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert (got[d].lang_pred, got[d].score, got[d].label, got[d].draw) == (best, pytest.approx(max(cosine[best], 0), abs=1e-5), 1, "y")
+        assert best == k or {best, k} == {"ru", "uk"}
+    held = [x for x in got.values() if x.held_out]
+    assert sum(x.lang == x.lang_pred for x in held) >= 0.95 * len(held) > 20
+
+
+def test_language_id_of_junk_is_bounded():
+    """Ten thousand texts of random letters in one batch; numpy reports what it allocates to tracemalloc."""
+    r = np.random.Generator(np.random.PCG64(4))
+    batch = pa.RecordBatch.from_arrays([pa.array(["".join(x) for x in r.choice([*"abcdefghijklmnopqrstuvwxyz"], (10_000, 100))])], ["text"])
+    tracemalloc.start()
+    assert sum(len(v) for _, v in language_id._bundled(batch, language_id.Profiles(), "text")) == 10_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+
+
+def kneser_ney(train, order):
+    """p(history, word) of texts of tokens, restated with plain counters."""
+    raw = {k: collections.Counter() for k in range(1, order + 1)}
+    for t in train:
+        seq = ["\t", *t]
+        for k in raw:
+            raw[k].update(tuple(seq[i - k + 1 : i + 1]) for i in range(max(1, k - 1), len(seq)))
+    counts = {order: raw[order]}
+    for k in range(1, order):
+        before = collections.Counter(g[1:] for g in raw[k + 1])
+        counts[k] = {g: before[g] if g[0] != "\t" else c for g, c in raw[k].items()}
+    d = {k: [0, *ngram_lm.discounts([sum(x == n for x in counts[k].values()) for n in (1, 2, 3, 4)])] for k in counts}
+    follow = {k: collections.defaultdict(lambda: [0, 0, 0, 0]) for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            follow[k][g[:-1]][0] += n
+            follow[k][g[:-1]][min(n, 3)] += 1
+
+    def p(history, word):
+        k = len(history) + 1
+        low = p(history[1:], word) if history else 1 / (len(counts[1]) + 1)
+        if history not in follow[k]:
+            return low
+        total, *seen = follow[k][history]
+        n = counts[k].get((*history, word), 0)
+        return (n - d[k][min(n, 3)] + sum(x * y for x, y in zip(d[k][1:], seen)) * low) / total
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, docs, empty, order):
+    # columns with names that the operator uses; more shards than words in some
+    frame = docs.where("doc_id is not null").withColumnsRenamed({"lang": "score", "source": "shard", "n_chars": "n_tokens"})
+    got = ngram_lm.score_held_out(frame, order=order).collect()
     rows = [(r[0], words(r[1]) + ["\n"]) for r in documents() if r[0] is not None]
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
     train = [t for d, t in rows if not held[d]]
     c = collections.Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
-    pairs = collections.Counter(p for t in train for p in zip(["\t", *t], t))
-    continued, total, kinds = collections.Counter(b for _, b in pairs), collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-    for (a, _), k in pairs.items():
-        total[a] += k
-        kinds[a][min(k, 3) - 1] += 1
-    d1, d2 = ([0, *ngram_lm.discounts([sum(x == k for x in t.values()) for k in (1, 2, 3, 4)])] for t in (continued, pairs))
-    left = sum(d1[min(x, 3)] for x in continued.values()) / len(pairs)
-
-    def p(a, w):
-        low = (continued[w] - d1[min(continued[w], 3)]) / len(pairs) + left / (v + 1)
-        return low if a not in total else (pairs[a, w] - d2[min(pairs[a, w], 3)] + sum(x * y for x, y in zip(d2[1:], kinds[a])) * low) / total[a]
-
+    p = kneser_ney(train, order)
     expected = collections.defaultdict(list)
     for d, t in rows:
-        expected[d].append((held[d], len(t), sum(w in c for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(*x)) for x in zip(["\t", *t], t))))
+        seq = ["\t", *t]
+        logs = [math.log10(p(tuple(seq[max(0, i - order + 1) : i]), seq[i])) for i in range(1, len(seq))]
+        expected[d].append((held[d], len(t), sum(w in c for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), sum(logs)))
     assert len(got) == len(rows)
     for r in got:
         assert [pytest.approx((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score))] == expected[r.doc_id][:1]
     # probabilities after a known, an unknown and no history sum to 1
     for a in ("\t", rows[0][1][0], "never seen"):
-        assert sum(p(a, w) for w in c) + p(a, "\r") == pytest.approx(1)
-    assert ngram_lm.score_held_out(empty).count() == 0
+        assert sum(p((a,), w) for w in c) + p((a,), "\r") == pytest.approx(1)
+    assert ngram_lm.score_held_out(empty, order=order).count() == 0
+
+
+def test_language_model_of_null_ids(spark, docs):
+    """A null id is in no fold: its rows are learned from, and scored."""
+    got = ngram_lm.score_held_out(docs).collect()
+    assert len(got) == len(documents())
+    held = {r[0] for r in documents() if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2}
+    assert {r.train_tokens for r in got} == {sum(len(words(t)) + 1 for d, t, *_ in documents() if d not in held)}
+    assert sorted(r.n_tokens for r in got if r.doc_id is None) == sorted(len(words(t)) + 1 for d, t, *_ in documents() if d is None)
+    assert not any(r.held_out for r in got if r.doc_id is None)
+
+
+@pytest.mark.parametrize("name", ["1/0.key.npy", "2/1.count.npy", "1/2.total.npy", "2/3.key.npy"])
+def test_a_lost_file_of_the_model_is_an_error(spark, docs, name):
+    model = ngram_lm.train(docs, shards=4, order=3)
+    assert ngram_lm.score(docs, model, "doc_id").count() == len(documents())
+    path = f"{model.path}/{name}"
+    whole = open(path, "rb").read()
+    os.remove(path)
+    with pytest.raises(Exception, match="No such file|FileNotFound"):
+        ngram_lm.score(docs, model, "doc_id").collect()
+    np.save(path, np.load(io.BytesIO(whole))[1:])
+    with pytest.raises(Exception, match="values instead of"):
+        ngram_lm.score(docs, model, "doc_id").collect()
+
+
+def test_language_model_is_split_over_shards(spark, docs):
+    """Scores don't depend on the number of shards."""
+    scores = [{(r.doc_id, round(r.score, 6)) for r in ngram_lm.score(docs, ngram_lm.train(docs, shards=n, order=3), "doc_id").collect()} for n in (1, 13)]
+    assert scores[0] == scores[1]
 
 
 def removed_by_force(rows, width):
@@ -222,16 +338,64 @@ def removed_by_force(rows, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "hot"), [(100, 5000), (21, 5000), (100, 2), (21, 10)])
-def test_repeated_spans(docs, empty, width, hot, monkeypatch):
+def left_after_force(spark, rows, width):
+    """The operator's rows for (doc, text), checked against the set of all windows."""
+    frame = spark.createDataFrame([(d, t, 1, "x", b"y") for d, t in rows], "doc_id long, text string, n_spans int, hash string, kept binary").repartition(3)
+    got = {r[0]: (*r[1:5], bytes(r[5])) for r in repeated_spans.repeated_spans(frame, width).collect()}
+    assert got == removed_by_force([(d, t or "") for d, t in rows], width)
+
+
+@pytest.mark.parametrize(("width", "hot", "mild"), [(100, 5000, 50), (21, 5000, 50), (100, 2, 50), (21, 10, 2), (100, 2, 0), (21, 3, 0)])
+def test_repeated_spans(spark, docs, empty, width, hot, mild, monkeypatch):
     monkeypatch.setattr(repeated_spans, "HOT", hot)
-    rows = {r[0]: r[1] or "" for r in documents() if r[0] is not None}
-    got = {r[0]: (*r[1:5], bytes(r[5])) for r in repeated_spans.repeated_spans(docs.where("doc_id is not null"), width).collect()}
-    assert got == removed_by_force(rows.items(), width)
+    monkeypatch.setattr(repeated_spans, "MILD", mild)
+    left_after_force(spark, {r[0]: r[1] for r in documents() if r[0] is not None}.items(), width)
     assert repeated_spans.repeated_spans(docs, width).count() == len(documents())
     assert repeated_spans.repeated_spans(empty, width).count() == 0
 
 
+def test_repeated_spans_of_null_ids(docs):
+    """A null id comes before all others; its rows differ by their texts."""
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in repeated_spans.repeated_spans(docs).collect()}
+    null = [t or "" for d, t, *_ in documents() if d is None]
+    assert {(None, len(t.encode())) for t in null} <= got.keys()
+    again = next(d for d, t, *_ in documents() if d is not None and t == max(null, key=len))
+    size = len(max(null, key=len).encode())
+    assert (got[None, size], got[again, size]) == (0, size)
+
+
+@pytest.mark.parametrize(("hot", "mild"), [(5000, 50), (2, 50), (2, 0)])
+def test_no_hash_alone_removes_a_byte(spark, monkeypatch, hot, mild):
+    """With one hash for all surroundings and one for all anchors, everything is left to the comparison of bytes."""
+    monkeypatch.setattr(repeated_spans, "HOT", hot)
+    monkeypatch.setattr(repeated_spans, "MILD", mild)
+    rows = list({d: t for d, t, *_ in documents() if d is not None and d < 70 and len(t or "") < 3000}.items())
+    tables = {}
+
+    def constant(t):
+        return np.zeros(len(t), np.uint64)
+
+    monkeypatch.setattr(repeated_spans, "surroundings_hash", constant)
+    for n, (d, t) in enumerate(rows):
+        if t:
+            data = np.frombuffer(t.encode(), np.uint8)
+            row, p, h, lo, hi = repeated_spans.anchors(data, np.array([0, len(data)]), 40)
+            surroundings = repeated_spans.binary(*repeated_spans.ragged(data, lo, hi - lo + 40))
+            columns = [h * np.uint64(0), np.full(len(p), d), np.full(len(p), n, np.uint64), p, (p - lo).astype(np.int16), (hi - p).astype(np.int16), surroundings]
+            tables[d] = pa.table(columns, schema=repeated_spans.CONTEXT)
+    t, later = repeated_spans.first_of_equal(pa.concat_tables(tables.values()))
+    runs = [repeated_spans.decided(later, 40)]
+    if hot < len(t):
+        t, later = repeated_spans.first_of_equal(repeated_spans.stretched(t, 40, np.full(len(t), 7 if mild else 1)))
+        runs.append(repeated_spans.decided(later, 40))
+    runs = repeated_spans.joined(pa.concat_tables([*runs, *repeated_spans.sorted_out(t, 40)]))
+    gone = collections.Counter()
+    for r in runs.to_pylist():
+        gone[r["doc"]] += r["to"] - r["from"]
+    expected = {d: x[1] for d, x in removed_by_force([(d, t or "") for d, t in rows], 40).items()}
+    assert {d: gone[d] for d in expected} == expected
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.text("ab", max_size=14)), min_size=1, max_size=40), st.integers(0, 14))
 def test_suffix_sort(items, depth):
