@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistamap.llm import decontamination, language_id, line_dedup, near_dups, packing
-from vistamap.llm._shared import saved, work_dir
+from vistamap.llm._shared import KeyFilter, Scratch, cleared, fewer, removed, saved, work_dir
 from vistamap.llm.queries import table, tokenizer_path
 
 
@@ -32,10 +32,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more), the one with the
-    smallest doc_id; one row of rows alike in doc_id and text."""
-    kept = saved(near_dups.near_dups(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct(), work_dir(spark, "kept"))
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    return left.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    smallest doc_id; one row of rows alike in doc_id and text. Rows that neither go nor are repeated are not shuffled."""
+    scratch = Scratch(spark, "distinct")  # ids only; the result reads them
+    ids = near_dups.near_dups(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    found = scratch.saved(ids.where(~F.col("kept") | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), "kept"), "found")
+    n = found.count()
+    maybe, alone = KeyFilter(found.select("__id"), scratch).split(docs, F.col("doc_id").cast("long"))
+    left = maybe.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").where(F.coalesce("kept", F.lit(True)))
+    left = left.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    return alone.union(fewer(left.select(*docs.columns), 100 * n))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +65,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), work_dir(spark, name))
+        path = work_dir(spark, name)
+        with cleared(spark):
+            docs = saved(stage(spark, docs, sf_dir), path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
 
 
