@@ -12,7 +12,7 @@ from vistamap.functions import tensors
 from vistamap.functions.generators import Drand48
 from vistamap.functions.timers import Timers
 from vistamap.functions.transfer import Tabulated, Transfer
-from vistamap.operators import columns, embedding, landmarks, matrices, neighbors, numbering, optimizers, series
+from vistamap.operators import columns, embedding, histogram, landmarks, matrices, neighbors, numbering, optimizers, series
 from vistamap.sources import options
 
 
@@ -193,3 +193,8 @@ def test_tensors(spark):
     assert all(tuple(r.i) == np.unravel_index(r.place, (2, 3, 4)) and r.again == r.place and r.out is None for r in got)
     a = np.arange(24).reshape(2, 3, 4)[:, :2, :3]
     assert sorted(map(tuple, tensors.resized(rows, (2, 3, 4), (2, 2, 3)).collect())) == [(k, float(v)) for k, v in enumerate(a.ravel())]
+
+
+def test_axis_lines():
+    got = histogram.axis_lines([histogram.Axis(0.0, 2.0, 4), histogram.Axis(1.0, 2.0, 2, "box", 0.5)])
+    assert got == ["# x(0): 0 0.5 1 1.5 2", "# w(0): 0 0 0 0", "# x(1): 1 1.5 2", "# w(1): 0.5 0.5"]

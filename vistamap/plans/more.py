@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +17,7 @@ from vistamap.operators.numbering import shared_path
 from vistamap.sources import definitions, matrix_text, options, text
 
 from . import schedules
-from .queries import _BOTH, _KNN, _STRIDE, _SURFACE, FH, FL, FLS, HIGH, LOW, MIXED, SQL, TERMS, E, P, _marks, _matrix, _series, _strided, _surface, _text, points, query, r6, table
-
+from .queries import _BOTH, _KNN, _STRIDE, _SURFACE, FH, FL, FLS, HIGH, LOW, MIXED, SQL, TERMS, E, P, _marks, _series, _strided, _surface, _text, points, query, r6, table
 
 
 def rows_of(spark, rows: list[tuple], schema: str) -> DataFrame:

@@ -22,7 +22,6 @@ from vistamap.streaming import live
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-TWO_PI = 2 * math.pi
 HIGH, LOW = Transfer("xsigmoid", (1.2, 6.0, 8.0)), Transfer("xsigmoid", (0.2, 2.0, 8.0))
 TERMS = stress.Terms(Metric(), HIGH, LOW, 0.0)
 MIXED = stress.Terms(Metric(), HIGH, LOW, 0.3)
