@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 from ._shared import one_thread
-from ._text import _SPACE, U, prefix, raw, spans
+from ._text import _SPACE, prefix, raw, spans
 
 #: Units that a worker remembers; beyond that it forgets those that it has met only once or twice since the last time.
 REMEMBERED = 200_000

@@ -56,7 +56,6 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\n"]] = True
-_PLACEHOLDER = {"number": U(11), "unit": U(12), "name": U(13)}
 WINDOWS = "doc long, of long, pos int, mode int, size int, hash long, template string, slots array<string>, tokens int, own boolean"
 #: Modes of windows: names as words, names as placeholders, all as it is.
 PLAIN, NAMES, LITERAL = 0, 1, 2
