@@ -447,6 +447,21 @@ def test_pipeline(spark, tmp_path):
         seen[name] = after
         if name == "language_id":
             assert sorted(map(repr, after)) == sorted(repr(r) for r in before if r.text and any(c.isalpha() for c in r.text))
+        if name == "line_dedup":
+            places = {}
+            for r in before:
+                for pos, line in enumerate(r.text.split("\n")):
+                    if line.strip(" "):
+                        places.setdefault(line.strip(" ").lower(), []).append((-1 if r.doc_id is None else r.doc_id, pos, r.source))
+            spread = {x: min(v)[:2] for x, v in places.items() if len({p[2] for p in v if p[2] is not None}) >= 10}
+            left = []
+            for r in before:
+                lines = r.text.split("\n")
+                kept = [x for pos, x in enumerate(lines) if spread.get(x.strip(" ").lower(), (r.doc_id, pos)) == (r.doc_id, pos)]
+                if len(kept) == len(lines) or "".join(kept).strip(" "):
+                    left.append((r.doc_id, "\n".join(kept)))
+            assert spread and sorted(map(repr, left)) == sorted(repr((r.doc_id, r.text)) for r in after)
+            assert all(r.n_chars == len(r.text) for r in after)
         if name == "near_dups":
             _, leader = groups_by_force([(r.doc_id, r.text) for r in before if r.doc_id is not None], 5, 80)
             leader[None] = None
