@@ -365,7 +365,7 @@ def test_classes_are_those_of_the_occurrence_vectors():
     assert 10 < len(by_vector) < len(vectors)
 
 
-@pytest.mark.parametrize("stored", [False, True])
+@pytest.mark.parametrize("stored", ["broadcast", "files", "shuffle"])
 def test_main_text_of_hosts_with_several_layouts(spark, monkeypatch, stored):
     """Layouts on 60 and 40 % of the pages, a third on few; a box on 70 % of a host's pages; a text twice on each page."""
 
@@ -386,10 +386,13 @@ def test_main_text_of_hosts_with_several_layouts(spark, monkeypatch, stored):
     def copied(k):  # the same article on three of many pages is no template
         return (200 + k, f"https://copied.example/{k}", f'<html><body><div class="x"><h1>T {k}</h1><p>{prose(0 if k < 3 else k, 30)}</p><p>{prose(500 + k, 30)}</p></div></body></html>')
 
-    if stored:  # templates in files, a few to each
+    if stored != "broadcast":  # templates in files, a few to each
         monkeypatch.setattr(html_extraction, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(html_extraction, "SHARD_BYTES", 300)
         monkeypatch.setattr(html_extraction, "REMEMBERED", 1)
+    if stored == "shuffle":
+        path = html_extraction.work_dir
+        monkeypatch.setattr(html_extraction, "work_dir", lambda spark, name: "store://x" if name == "stored" else path(spark, name))
     rows = [*map(several, range(26)), *map(boxed, range(20)), *map(copied, range(20))]
     text = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for k in range(26):

@@ -430,7 +430,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     size = templates.agg(F.sum(F.length("host") + 8 * F.size("texts") + F.aggregate("mains", F.lit(0), lambda n, m: n + F.length(m["path"]) + 32) + 64)).first()[0] or 0
     types = pages.schema
     schema = f"page_id {types['page_id'].dataType.simpleString()}, url {types['url'].dataType.simpleString()}, text string, n_chars long"
-    if size <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(templates), "host", "left").select("page_id", "url", "html", "texts", "mains").mapInArrow(lean(read), schema)
-    stored = Stored(templates, size, posix(work_dir(spark, "stored")))
+    path = work_dir(spark, "stored")
+    if size <= BROADCAST_BYTES or not path.startswith(("/", "file:")):  # in a store that workers can't map, pages are shuffled
+        known = F.broadcast(templates) if size <= BROADCAST_BYTES else templates
+        return rows.join(known, "host", "left").select("page_id", "url", "html", "texts", "mains").mapInArrow(lean(read), schema)
+    stored = Stored(templates, size, posix(path))
     return rows.select("page_id", "url", "html", "host", F.pmod(F.xxhash64("host"), F.lit(stored.shards)).cast("int")).mapInArrow(lean(stored.reader()), schema)
