@@ -60,6 +60,7 @@ def test_compressed_graph(spark, monkeypatch):
 
 def test_dense_columns_are_split(spark, monkeypatch):
     monkeypatch.setattr(matrices, "DENSE", 7)
+    monkeypatch.setattr(matrices, "SMALL_BYTES", 0)
     r = np.random.default_rng(1)
     a, b = r.integers(-2, 3, (30, 4)).astype(float), r.integers(-2, 3, (4, 9)).astype(float)
     frame = lambda m: spark.createDataFrame([(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(m) if v], "i long, j long, v double")
