@@ -288,3 +288,18 @@ def test_schedules(frame):
         assert y.count() == 25 and value < start
     known, got = schedules.landmark_map(frame.select("id", "x", "w"), 20, schedules.Options(high=(1.5, 4.0, 3.0), low=(1.0, 2.0, 3.0), steps=10), coarse=7, fine=21)
     assert (known.count(), got.count()) == (20, 130)
+
+
+def test_classical_scaling_of_many_points(frame, cloud, monkeypatch):
+    """Beyond MOST points classical scaling goes by principal axes: layout, signs and report are those of the matrix of distances."""
+    expected, known = embedding.scaling(Metric().matrix(cloud[0], cloud[0]) * (1 - np.eye(130)), 3)
+    monkeypatch.setattr(embedding, "MOST", 100)
+    for d in (3, 6):  # more dimensions than the points have are 0
+        y, report = embedding.mds(frame, d)
+        got = np.array([r.y for r in y.orderBy("id").collect()])
+        assert got[:, :3] == pytest.approx(expected, abs=1e-9) and (got[:, 4:] == 0).all()
+        assert report["eigenvalues"][:3] == pytest.approx(known["eigenvalues"])
+    _, report = embedding.mds(frame, 3)
+    assert (report["explained"], report["residual"]) == (pytest.approx(known["explained"]), pytest.approx(known["residual"]))
+    with pytest.raises(ValueError):
+        embedding.mds(frame, 2, Metric("torus", 1.5))
