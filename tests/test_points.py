@@ -303,3 +303,10 @@ def test_classical_scaling_of_many_points(frame, cloud, monkeypatch):
     assert (report["explained"], report["residual"]) == (pytest.approx(known["explained"]), pytest.approx(known["residual"]))
     with pytest.raises(ValueError):
         embedding.mds(frame, 2, Metric("torus", 1.5))
+
+
+def test_plane_keeps_distances_of_many_points(frame, cloud, monkeypatch):
+    monkeypatch.setattr(embedding, "MOST", 100)
+    y, _ = embedding.mds(frame.select("id", F.col("y").alias("x")))
+    got = np.array([r.y for r in y.orderBy("id").collect()])
+    assert Metric().matrix(got, got) == pytest.approx(Metric().matrix(cloud[2], cloud[2]), abs=1e-9)
