@@ -310,3 +310,22 @@ def test_plane_keeps_distances_of_many_points(frame, cloud, monkeypatch):
     y, _ = embedding.mds(frame.select("id", F.col("y").alias("x")))
     got = np.array([r.y for r in y.orderBy("id").collect()])
     assert Metric().matrix(got, got) == pytest.approx(Metric().matrix(cloud[2], cloud[2]), abs=1e-9)
+
+
+@pytest.mark.parametrize("orders", ["one", "both"])
+def test_scaling_of_a_large_relation(spark, frame, cloud, monkeypatch, orders):
+    """Beyond MOST points, products of the relation with columns give what the matrix gives: of few dimensions, and of many."""
+    for metric, d in ((Metric(), 7), (Metric("torus", 1.5), 3)):
+        expected, known = embedding.scaling(metric.matrix(cloud[0], cloud[0]) * (1 - np.eye(130)), d)
+        relation = pairs.pair_join(frame.withColumn("id", 3 * F.col("id") + 5), metric)
+        if orders == "both":
+            relation = relation.union(relation.select("j", "i", "d"))
+        with monkeypatch.context() as m:
+            m.setattr(embedding, "MOST", 100)
+            y, report = embedding.mds_of_pairs(relation, d)
+        rows = y.orderBy("id").collect()
+        got = np.array([r.y for r in rows])
+        assert [r.id for r in rows] == list(range(5, 395, 3))
+        assert Metric().matrix(got, got) == pytest.approx(Metric().matrix(expected, expected), abs=1e-6)
+        assert report["eigenvalues"][:3] == pytest.approx(known["eigenvalues"][:3])
+        assert (report["explained"], report["residual"]) == (pytest.approx(known["explained"]), pytest.approx(known["residual"]))
