@@ -343,3 +343,18 @@ def test_torus_goes_by_strips():
     u = (a[None] - a[:, None]) / 1.5
     assert got == pytest.approx(np.sqrt((((u - half_away(u)) * 1.5) ** 2).sum(2)))
     assert peak < 1.3 * got.nbytes
+
+
+def test_tiles_copy_rows_a_bounded_number_of_times(frame, cloud, monkeypatch):
+    """Small blocks make many tiles, not many copies of a row in the shuffle."""
+    monkeypatch.setattr(pairs.self_tiles, "__defaults__", (3,))
+    met = pairs.meetings(frame.select("id"), 3)
+    assert met.groupBy("id").count().agg(F.max("count")).first()[0] <= 16
+    d = Metric().matrix(cloud[0], cloud[0])
+    got = {(r.i, r.j): r.d for r in pairs.pair_join(frame).collect()}
+    assert len(got) == 130 * 129 / 2 == pairs.pair_join(frame).count()
+    assert all(v == pytest.approx(d[k]) for k, v in got.items())
+    m = {(r.i, r.j): r.m for r in embedding.centred(frame).collect()}
+    b = -0.5 * d * d * (1 - np.eye(130))
+    b = b - b.mean(0) - b.mean(1)[:, None] + b.mean()
+    assert len(m) == 130 * 131 / 2 and all(v == pytest.approx(b[k], abs=1e-9) for k, v in m.items())
