@@ -358,3 +358,9 @@ def test_tiles_copy_rows_a_bounded_number_of_times(frame, cloud, monkeypatch):
     b = -0.5 * d * d * (1 - np.eye(130))
     b = b - b.mean(0) - b.mean(1)[:, None] + b.mean()
     assert len(m) == 130 * 131 / 2 and all(v == pytest.approx(b[k], abs=1e-9) for k, v in m.items())
+
+
+def test_centring_goes_over_pairs_once_more(frame):
+    """Row means are kept in a file, so the plan of the result has one pass over pairs."""
+    plan = embedding.centred(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMap") == 1
