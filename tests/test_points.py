@@ -378,3 +378,33 @@ def test_selection_reads_rows_of_a_relation(frame):
     assert [(r.rank, r.id) for r in got] == [(r.rank, r.id) for r in landmarks.minmax(frame, 8).orderBy("rank").collect()]
     assert asked == [r.id for r in got][:7]
     assert {(r.j, round(r.d, 9)) for r in row(5).collect()} == {(r.i + r.j - 5, round(r.d, 9)) for r in pairs.pair_join(frame).where("i = 5 or j = 5").collect()}
+
+
+def test_staged_selection_makes_cells_by_blocks(spark):
+    seen = []
+
+    class Watched(Metric):
+        def matrix(self, a, b):
+            seen.append(len(a) * len(b))
+            return super().matrix(a, b)
+
+    x = np.random.default_rng(6).normal(size=(3000, 3))
+    p = spark.createDataFrame([(i, x[i].tolist(), 1.0) for i in range(len(x))], "id long, x array<double>, w double")
+    got = landmarks.staged(p, 9, metric=Watched()).orderBy("rank").collect()
+    centers = int((9 * 3000) ** 0.5)
+    assert len(got) == 9 and sum(r.weight for r in got) == pytest.approx(1)
+    assert max(seen) <= 1024 * centers
+
+
+def test_rows_of_a_relation_as_pairs(spark, frame, cloud, monkeypatch):
+    """Rows of the square matrix are made and read back without a shuffle, in any batch size."""
+    spaced = frame.withColumn("id", 7 * F.col("id") - 9)
+    d = Metric().matrix(cloud[0], cloud[0]) * (1 - np.eye(130))
+    rows = pairs.similarity_rows(spaced)
+    assert np.array([r.x for r in rows.orderBy("id").collect()]) == pytest.approx(d)
+    out = pairs.similarity_pairs(rows)
+    assert {((r.i + 9) // 7, (r.j + 9) // 7): round(r.d, 9) for r in out.collect()} == {(i, j): round(d[i, j], 9) for i in range(130) for j in range(i)}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(pairs, "BROADCAST", 100)
+    with pytest.raises(ValueError):
+        pairs.similarity_rows(spaced)
