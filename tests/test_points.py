@@ -396,9 +396,9 @@ def test_staged_selection_makes_cells_by_blocks(spark):
     assert max(seen) <= 1024 * centers
 
 
-def test_rows_of_a_relation_as_pairs(spark, frame, cloud, monkeypatch):
+def test_rows_of_a_relation_as_pairs(spark, cloud, monkeypatch):
     """Rows of the square matrix are made and read back without a shuffle, in any batch size."""
-    spaced = frame.withColumn("id", 7 * F.col("id") - 9)
+    spaced = spark.createDataFrame([(7 * i - 9, cloud[0][i].tolist()) for i in np.random.default_rng(1).permutation(130).tolist()], "id long, x array<double>")
     d = Metric().matrix(cloud[0], cloud[0]) * (1 - np.eye(130))
     rows = pairs.similarity_rows(spaced)
     assert np.array([r.x for r in rows.orderBy("id").collect()]) == pytest.approx(d)
