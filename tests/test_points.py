@@ -408,3 +408,19 @@ def test_rows_of_a_relation_as_pairs(spark, cloud, monkeypatch):
     monkeypatch.setattr(pairs, "BROADCAST", 100)
     with pytest.raises(ValueError):
         pairs.similarity_rows(spaced)
+
+
+def test_neighbours_are_found_once(spark, frame, cloud, monkeypatch):
+    """A locally linear embedding uses its edges several times and makes them once, dense or sparse."""
+    edges, made = neighbors.knn(frame, 8).select("i", "j").cache(), spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    watched = edges.mapInArrow(run, "i long, j long")
+    for k, most in enumerate((6000, 100), 1):
+        monkeypatch.setattr(embedding, "MOST", most)
+        y, _ = embedding.lle(frame, watched)
+        assert y.count() == 130 and made.value == k * 130 * 8
