@@ -406,8 +406,7 @@ def test_rows_of_a_relation_as_pairs(spark, cloud, monkeypatch):
     assert {((r.i + 9) // 7, (r.j + 9) // 7): round(r.d, 9) for r in out.collect()} == {(i, j): round(d[i, j], 9) for i in range(130) for j in range(i)}
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(pairs, "BROADCAST", 100)
-    with pytest.raises(ValueError):
-        pairs.similarity_rows(spaced)
+    assert np.array([r.x for r in pairs.similarity_rows(spaced).orderBy("id").collect()]) == pytest.approx(d)
 
 
 def test_neighbours_are_found_once(spark, frame, cloud, monkeypatch):
