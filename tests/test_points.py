@@ -380,6 +380,26 @@ def test_selection_reads_rows_of_a_relation(frame):
     assert {(r.j, round(r.d, 9)) for r in row(5).collect()} == {(r.i + r.j - 5, round(r.d, 9)) for r in pairs.pair_join(frame).where("i = 5 or j = 5").collect()}
 
 
+@pytest.mark.parametrize("most", [10_000_000, 100])
+def test_tiles_of_rows_that_are_sent(frame, cloud, small_blocks, monkeypatch, most):
+    """Few numbers are sent to the tasks and not shuffled, more are; pairs are the same, those of an id that occurs twice too."""
+    monkeypatch.setattr(pairs, "BROADCAST", most)
+    both = frame.union(frame.where("id < 50"))
+    found = pairs.pair_join(both)
+    assert ("Exchange" in found._jdf.queryExecution().executedPlan().toString()) == (most == 100)
+    got = sorted((r.i, r.j) for r in found.collect())
+    ids = [*range(130), *range(50)]
+    assert got == sorted((max(a, b), min(a, b)) for k, a in enumerate(ids) for b in ids[:k] if a != b)
+    d = Metric().matrix(cloud[0], cloud[0])
+    m = -0.5 * d * d
+    m = m - m.mean(0) - m.mean(1)[:, None] + m.mean()
+    centred = embedding.centred(frame)
+    plan = centred._jdf.queryExecution().executedPlan().toString()
+    assert ("hashpartitioning(i" in plan) == (most == 100)
+    rows = centred.collect()
+    assert len(rows) == 130 * 131 // 2 and [r.m for r in rows] == pytest.approx([m[r.i, r.j] for r in rows])
+
+
 def test_staged_selection_makes_cells_by_blocks(spark):
     seen = []
 
