@@ -65,6 +65,27 @@ def test_near_dups(docs, empty, n, percent):
     assert near_dups.near_dups(empty, n, percent).count() == 0
 
 
+def test_workers_write_wide_tables(spark, docs, monkeypatch):
+    """Signatures are in files that Spark's own writer, which starts processes for permissions and leaves checksums, didn't make. A store
+    that isn't mounted gets Spark's, with the same rows; a file that no task handed over isn't read."""
+    kept = []
+    monkeypatch.setattr(_shared, "removed", lambda spark, path: kept.append(path))
+    near_dups.near_dups(docs.select("doc_id", "text"))
+    names = [x for x in os.listdir(f"{kept[0]}/sketches-1") if x.endswith((".parquet", ".crc"))]
+    assert names and not [x for x in names if x.endswith(".crc")]
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(3)
+    path = _shared.work_dir(spark, "workers")
+    monkeypatch.setattr(_shared, "GROUP_BYTES", 20_000)  # several row groups
+    own = _shared.mapped(base, near_dups.sketcher(5), near_dups.SKETCH, path)
+    with open(f"{path}/_left", "wb") as f:
+        f.write(b"not ended")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./all", "file:///")
+    other = _shared.mapped(base, near_dups.sketcher(5), near_dups.SKETCH, f"viewfs://store/all{path}-other")
+    assert os.path.exists(f"{path}-other/_SUCCESS") and not os.path.exists(f"{path}/_SUCCESS")
+    rows = [sorted(x.collect(), key=repr) for x in (own, other, base.mapInArrow(near_dups.sketcher(5), near_dups.SKETCH))]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == docs.count()
+
+
 def test_near_dups_of_a_large_group_without_a_centre(spark, monkeypatch):
     """Copies of copies: many pairs of one bucket are near the threshold on either side; tiles are small."""
     monkeypatch.setattr(near_dups, "TILE", 16)

@@ -13,6 +13,7 @@ from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ KEY_BYTES = 1 << 20
 BATCH_BYTES = 2 << 20
 #: Bits of a key filter, in words of 64; the words are at most 1,048,576 rows.
 FILTER_BITS = 1 << 26
+#: Bytes of a row group in files that workers write.
+GROUP_BYTES = 8 << 20
 #: Rows of a few numbers that a file of a work table holds: less isn't worth a task.
 ROWS_A_FILE = 200_000
 _own: dict[str, str] = {}
@@ -77,6 +80,38 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable, schema: str, path: str) -> DataFrame:
+    """df.mapInArrow(run, schema) written to `path` and read again. Where the folder is mounted, workers write the files themselves: rows don't go
+    back through the JVM, and it starts no process for the permissions of a file, which shares its memory for a moment. A file counts when
+    the driver, which gets its name from the task that ended well, takes the underscore off it."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        return saved(df.mapInArrow(lean(run), schema), path)
+    folder = where.toUri().getPath()
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, held, size = f"_{uuid.uuid4().hex}", None, [], 0
+        for batch in run(batches):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= GROUP_BYTES:
+                out = out or pq.ParquetWriter(f"{folder}/{name}", batch.schema)
+                out.write_table(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            out = out or pq.ParquetWriter(f"{folder}/{name}", held[0].schema)
+            out.write_table(pa.Table.from_batches(held))
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    os.makedirs(folder)
+    for k, row in enumerate(df.mapInArrow(lean(written), "name string").collect()):
+        os.rename(f"{folder}/{row['name']}", f"{folder}/part-{k:05}.parquet")
+    return spark.read.schema(schema).parquet(path)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a work folder whose tables nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -95,6 +130,10 @@ class Scratch:
     def __exit__(self, *_) -> None:
         removed(self.spark, self.path)
 
+    def mapped(self, df: DataFrame, run: Callable, schema: str, name: str, rows: int | None = None) -> DataFrame:
+        self.n += 1
+        return mapped(df if rows is None else fewer(df, rows), run, schema, f"{self.path}/{name}-{self.n}")
+
     def saved(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """`rows`: how many narrow rows there are about, or would take as much room; keeps small tables in few files."""
         self.n += 1

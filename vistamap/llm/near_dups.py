@@ -270,14 +270,14 @@ class Linker:
         return self.labels()
 
     def run(self) -> DataFrame:
-        bands = self.saved(self.classes.select("cid", "signature").mapInArrow(lean(banded), "bucket long, cid long"), "bands", BANDS * self.n)
+        bands = self.scratch.mapped(self.classes.select("cid", "signature"), banded, "bucket long, cid long", "bands", BANDS * self.n)
         shared = bands.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where(F.col("a") < F.col("z")).select("bucket", "a")
         shared = self.saved(shared, "shared", BANDS * self.n)
         members = KeyFilter(shared.select("bucket"), self.scratch).split(bands, F.col("bucket"))[0].join(shared, "bucket")
         members = self.saved(members, "members", BANDS * self.n)
         picked = KeyFilter(members.select("cid").distinct(), self.scratch)
         self.signatures = self.saved(picked.split(self.classes, F.col("cid"))[0].select("cid", "signature"), "signatures", 40 * self.n)
-        self.packed = self.saved(picked.split(self.texts.select("doc_id", "text"), F.col("doc_id"))[0].mapInArrow(lean(packed), "cid long, packed binary, size long"), "packed", 100 * self.n)
+        self.packed = self.scratch.mapped(picked.split(self.texts.select("doc_id", "text"), F.col("doc_id"))[0], packed, "cid long, packed binary, size long", "packed", 100 * self.n)
         stars = members.where(F.col("a") < F.col("cid")).select("a", F.col("cid").alias("b")).distinct()
         side = lambda x: self.signatures.select(F.col("cid").alias(x), F.col("signature").alias(f"s{x}"))
         pairs = stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
@@ -336,7 +336,7 @@ def near_dups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame
     small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     with Scratch(spark, "near-dups") as scratch:
-        sketch = scratch.saved(base.mapInArrow(lean(sketcher(shingle)), SKETCH), "sketches")
+        sketch = scratch.mapped(base, sketcher(shingle), SKETCH, "sketches")
         n = sketch.count()
         classes, signatures = representatives(sketch, n, scratch)
         labels = Linker(signatures, classes.count(), base.where(F.col("doc_id").isNotNull()), shingle, percent, scratch).run()
