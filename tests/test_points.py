@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vistamap.functions import generators
-from vistamap.functions.metrics import Metric, half_away
+from vistamap.functions.metrics import Metric, half_away, rounded
 from vistamap.functions.transfer import Transfer, upper_gamma
 from vistamap.operators import embedding, histogram, landmarks, neighbors, optimizers, pairs, projection, stress
 from vistamap.operators.histogram import Axis
@@ -443,3 +443,15 @@ def test_neighbours_are_found_once(spark, frame, cloud, monkeypatch):
         monkeypatch.setattr(embedding, "MOST", most)
         y, _ = embedding.lle(frame, watched)
         assert y.count() == 130 and made.value == k * 130 * 8
+
+
+def test_distances_are_rounded_as_sql_rounds_them(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from vistamap.plans import queries
+
+    x = [0.0, *((k + 0.5) / 1e6 for k in range(1_000_001, 1_000_400)), 1e308, float("nan")]
+    expected = [r[0] for r in duckdb.sql(f"select round(x, 6)::double from (select unnest({x[1:-2]}::double[]) x)").fetchall()]
+    got = {r.i: r.d for r in pairs.pair_join(spark.createDataFrame([(k, [v]) for k, v in enumerate(x)], "id long, x array<double>"), digits=6).where("j = 0").collect()}
+    assert [got[k] for k in range(1, len(x) - 2)] == expected and got[len(x) - 1] is None
+    assert rounded(np.array([-0.0000005, 2.5e-7, 1e305, -np.inf]), 6).tolist() == [-1e-6, 0.0, 1e305, -math.inf]
+    assert "round" not in queries.QUERIES["pair_dump"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
