@@ -455,3 +455,9 @@ def test_distances_are_rounded_as_sql_rounds_them(spark):
     assert [got[k] for k in range(1, len(x) - 2)] == expected and got[len(x) - 1] is None
     assert rounded(np.array([-0.0000005, 2.5e-7, 1e305, -np.inf]), 6).tolist() == [-1e-6, 0.0, 1e305, -math.inf]
     assert "round" not in queries.QUERIES["pair_dump"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_of_a_plane_are_rounded_in_the_tile(spark):
+    from vistamap.plans import queries
+
+    assert "round" not in queries.QUERIES["mds_plane"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
