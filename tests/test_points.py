@@ -461,3 +461,9 @@ def test_distances_of_a_plane_are_rounded_in_the_tile(spark):
     from vistamap.plans import queries
 
     assert "round" not in queries.QUERIES["mds_plane"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_of_classical_scaling_are_rounded_in_the_tile(spark):
+    from vistamap.plans import queries
+
+    assert "round" not in queries.QUERIES["mds_embed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
