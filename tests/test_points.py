@@ -467,3 +467,13 @@ def test_distances_of_classical_scaling_are_rounded_in_the_tile(spark):
     from vistamap.plans import queries
 
     assert "round" not in queries.QUERIES["mds_embed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_centred_values_are_finished_in_the_tile(frame, cloud, small_blocks):
+    hd = Metric().matrix(cloud[0], cloud[0])
+    m = -0.5 * hd**2
+    m = m - m.mean(0) - m.mean(1)[:, None] + m.mean()
+    t = embedding.centred(frame, digits=3)
+    assert {(r.i, r.j): r.m for r in t.collect()} == pytest.approx({(i, j): round(m[i, j], 3) for i in range(130) for j in range(i + 1)}, abs=1e-9)
+    assert all(math.copysign(1, r.m) > 0 for r in t.where("m = 0").collect())
+    assert "NestedLoop" not in t._jdf.queryExecution().executedPlan().toString()
