@@ -477,3 +477,18 @@ def test_centred_values_are_finished_in_the_tile(frame, cloud, small_blocks):
     assert {(r.i, r.j): r.m for r in t.collect()} == pytest.approx({(i, j): round(m[i, j], 3) for i in range(130) for j in range(i + 1)}, abs=1e-9)
     assert all(math.copysign(1, r.m) > 0 for r in t.where("m = 0").collect())
     assert "NestedLoop" not in t._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_matrix_are_cut_in_the_task_that_makes_them(spark, frame, monkeypatch):
+    monkeypatch.setattr(pairs, "PART", 1000)
+    t = pairs.similarity_cut(frame, digits=6)
+    assert t._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and t.rdd.getNumPartitions() > 4
+    got = sorted(map(tuple, t.collect()))
+    alike = lambda rows: np.allclose(np.array(sorted(map(tuple, rows))), np.array(got), atol=2e-6, rtol=0)
+    assert alike(pairs.pair_join(frame, digits=6).collect())
+    monkeypatch.setattr(pairs, "BROADCAST", 10)
+    assert alike(pairs.similarity_cut(frame, digits=6).collect())
+    odd = spark.createDataFrame([(3, [math.nan]), (1, [0.0]), (2, [1.0])], "id long, x array<double>")
+    monkeypatch.undo()
+    assert sorted(map(tuple, pairs.similarity_cut(odd).collect())) == [(2, 1, 1.0), (3, 1, None), (3, 2, None)]
+    assert pairs.similarity_cut(odd.where("id > 5")).collect() == []
