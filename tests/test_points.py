@@ -492,3 +492,20 @@ def test_rows_of_a_matrix_are_cut_in_the_task_that_makes_them(spark, frame, monk
     monkeypatch.undo()
     assert sorted(map(tuple, pairs.similarity_cut(odd).collect())) == [(2, 1, 1.0), (3, 1, None), (3, 2, None)]
     assert pairs.similarity_cut(odd.where("id > 5")).collect() == []
+
+
+def test_scaling_of_distances_makes_no_rows_of_them(frame, cloud, monkeypatch):
+    """Products of the relation of points are made by tiles; they give what the matrix gives."""
+    joined, whole = [], pairs.pair_join
+    monkeypatch.setattr(embedding, "pair_join", lambda *a, **b: joined.append(a) or whole(*a, **b))
+    monkeypatch.setattr(embedding, "BLOCK", 37)
+    monkeypatch.setattr(embedding, "MOST", 100)
+    for metric, d in ((Metric(), 7), (Metric("torus", 1.5), 3)):
+        expected, known = embedding.scaling(metric.matrix(cloud[0], cloud[0]) * (1 - np.eye(130)), d)
+        y, report = embedding.mds_of_distances(frame.withColumn("id", 3 * F.col("id") + 5), d, metric)
+        rows = y.orderBy("id").collect()
+        got = np.array([r.y for r in rows])
+        assert [r.id for r in rows] == list(range(5, 395, 3)) and not joined
+        assert Metric().matrix(got, got) == pytest.approx(Metric().matrix(expected, expected), abs=1e-6)
+        assert (report["explained"], report["residual"]) == (pytest.approx(known["explained"]), pytest.approx(known["residual"]))
+        joined.clear()
