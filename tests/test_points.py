@@ -509,3 +509,18 @@ def test_scaling_of_distances_makes_no_rows_of_them(frame, cloud, monkeypatch):
         assert Metric().matrix(got, got) == pytest.approx(Metric().matrix(expected, expected), abs=1e-6)
         assert (report["explained"], report["residual"]) == (pytest.approx(known["explained"]), pytest.approx(known["residual"]))
         joined.clear()
+
+
+def test_meetings_send_the_nearest_alone(frame, cloud, spark, monkeypatch):
+    """k neighbours a point and meeting, however many tiles it has; equal distances go to smaller ids, also where they are cut off."""
+    monkeypatch.setattr(pairs, "GROUPS", 2)
+    monkeypatch.setattr(pairs, "MERGED", 300)
+    monkeypatch.setattr(pairs.self_tiles, "__defaults__", (10,))
+    sent, ranked = [], neighbors._ranked
+    monkeypatch.setattr(neighbors, "_ranked", lambda edges, k: sent.append(edges.count()) or ranked(edges, k))
+    d = Metric().matrix(cloud[0], cloud[0])
+    expected = {(i, j) for i in range(130) for j in sorted(set(range(130)) - {i}, key=lambda j: (d[i, j], j))[:4]}
+    assert {(r.i, r.j) for r in neighbors.knn(frame, 4).collect()} == expected and sent == [130 * 2 * 4]
+    alike = spark.createDataFrame([(3 * k, [float(k % 2)]) for k in range(60)], "id long, x array<double>")
+    got = {(r.i, r.j) for r in neighbors.knn(alike, 5).collect()}
+    assert got == {(3 * i, 3 * j) for i in range(60) for j in [j for j in range(i % 2, 60, 2) if j != i][:5]}
